@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import checkpoint, table
+from .bpe import count_tokens, encode_texts
 from .cutoff import cutoffs
+from .groupsplit import groups, splits
+from .mixing import language, mix
 from .pieces import pieces
 from .sql import SQL  # noqa: F401
 
@@ -32,4 +35,47 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "fasta_records"), table(spark, sf_dir, "chunk_settings"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces}
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(table(spark, sf_dir, "label_table"), table(spark, sf_dir, "chunk_manifest"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = checkpoint(p3_groups(spark, sf_dir).select("row_id", "group_id"))
+    linked = grouped.groupBy("group_id").count().filter("count > 1")
+    return grouped.join(linked, "group_id", "left_semi").select("row_id", "group_id")
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its split."""
+    return splits(checkpoint(p3_groups(spark, sf_dir)))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, groups and share of rows of each split, and the rows by label."""
+    grouped = checkpoint(p3_groups(spark, sf_dir))
+    rows = splits(grouped).join(grouped.select("row_id", "label"), "row_id")
+    labels = [F.count_if(F.col("label") == i).alias(f"label_{i}") for i in range(3)]
+    found = rows.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("group_id").alias("groups"), *labels)
+    return found.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy()))  # three rows
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", language(F.col("lang")).alias("lang"), "text")
+    counted = checkpoint(count_tokens(docs, ["doc_id", "source", "lang"]))
+    return mix(counted, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report}

@@ -41,3 +41,17 @@ p as (
 """
 SQL["p2_found"] = _P2 + "select rec_id, a as aa_start, e as aa_end from p"
 SQL["p2_pieces"] = _P2 + "select rec_id, a as aa_start, e as aa_end, count(*) over (partition by rec_id)::bigint as chunks_total from p"
+SQL["p3_found"] = """
+with recursive l as (
+  select distinct row_id, trim(ids, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as ids, nullif(isolate, '') as isolate from label_table),
+m as (select chunk_id, min(orig_id) as orig from chunk_manifest where orig_id is not null group by chunk_id),
+r as (
+  select row_id, isolate, coalesce(orig, case when regexp_matches(ids, '(\\||_)chunk_') then regexp_extract(ids, '(?s)^(.*?)(?:\\||_)chunk_', 1) else ids end) as protein
+  from l left join m on l.ids = m.chunk_id),
+n as (select row_id, isolate, min(row_id) over (partition by p) as node from (select *, coalesce('=' || protein, '?' || row_id) as p from r)),
+e as (select distinct a.node as u, b.node as v from n a join n b on a.isolate = b.isolate and a.node <> b.node),
+w as (select distinct node as start, node as now from n union select w.start, e.v from w join e on w.now = e.u),
+g as (select start, min(now) as root from w group by start),
+x as (select row_id, root as group_id, count(*) over (partition by root) as c from n join g on n.node = g.start)
+select row_id, group_id from x where c > 1
+"""
