@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
 from .bpe import count_tokens, encode_texts
+from .clusters import clusters, describe
 from .cutoff import cutoffs
 from .groupsplit import groups, splits
 from .mixing import language, mix
+from .neighbours import most_similar, pairs
 from .pieces import pieces
 from .sql import SQL  # noqa: F401
 
@@ -59,6 +61,20 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy()))  # three rows
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "pooled_json"))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster with its size, its compactness and its most typical entries."""
+    entries = table(spark, sf_dir, "pooled_json")
+    return describe(entries, checkpoint(clusters(entries)))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(most_similar(table(spark, sf_dir, "pooled_json")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -78,4 +94,4 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report}
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report}
