@@ -174,10 +174,11 @@ def most_similar(df: DataFrame, k: int = 5, least: float = 0.9, cell_rows: int =
 
 def pairs(found: DataFrame, k: int = 5) -> DataFrame:
     """(entry_a, entry_b), entry_a < entry_b: the pairs of which at least one has the other among its k best."""
-    own = found.select(F.col("entry_id").alias("a"), F.explode("best.b").alias("b"))
-    followers = found.filter(F.size("followers") > 0).select("entry_id", "best", F.explode("followers").alias("m"))
     first = F.array(F.struct(F.lit(0).alias("loss"), F.col("entry_id").alias("b")))
-    theirs = F.filter(F.array_sort(F.concat("best", first)), lambda s: s["b"] != F.col("m"))
-    more = followers.select(F.col("m").alias("a"), F.explode(F.slice(theirs, 1, k)["b"]).alias("b"))
-    both = own.unionByName(more)
-    return both.select(F.least("a", "b").alias("entry_a"), F.greatest("a", "b").alias("entry_b")).filter("entry_a < entry_b").distinct()
+    whole = F.array_sort(F.concat("best", first))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("entry_a"), F.greatest(a, b).alias("entry_b"))
+    theirs = lambda m: F.transform(F.slice(F.filter(whole, lambda s: s["b"] != m), 1, k), lambda s: pair(m, s["b"]))
+    own = F.transform("best", lambda s: pair(F.col("entry_id"), s["b"]))
+    # In one pass over found, which is not computed twice.
+    rows = found.select(F.explode(F.concat(own, F.flatten(F.transform("followers", theirs)))).alias("p"))
+    return rows.select("p.entry_a", "p.entry_b").filter("entry_a < entry_b").distinct()
