@@ -13,6 +13,7 @@ from .groupsplit import groups, splits
 from .mixing import language, mix
 from .neighbours import most_similar, pairs
 from .pieces import pieces
+from .subjects import subjects_of
 from .sql import SQL  # noqa: F401
 
 
@@ -94,4 +95,18 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report}
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents and sentences; documents of several subjects count in each."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}
