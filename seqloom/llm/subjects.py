@@ -35,6 +35,8 @@ PRIOR = 0.2
 #: Least share of sentences, and least words of the subject in a sentence that deals with it.
 #: Further subjects of a sentence need so many words, and this part of the first one's (where the end of a sentence was lost).
 SHARE, LEAST_WORDS, LEAST_MORE, PART_MORE = 0.19, 0.9, 2.5, 0.4
+#: Documents inferred at a time.
+BLOCK = 128
 #: Top terms of a topic that are inspected. Labelled passages that are used at most.
 TOP_TERMS, MOST_EXAMPLES = 30, 20_000
 
@@ -222,8 +224,8 @@ def _expected(encoded: DataFrame, topics: np.ndarray) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((v, k))
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
                 doc, term, _ = _flat(part)
                 if len(term):
                     _, gamma = infer(doc, term, part.num_rows, topics)
@@ -265,8 +267,8 @@ def assign(encoded: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
                 counts = model.judge(*_flat(part), part.num_rows)
                 total = np.maximum(part.column("total").to_numpy(), 1)
                 doc, subject = np.nonzero(counts >= np.maximum(share * total, 0.5)[:, None])
