@@ -37,15 +37,18 @@ def evidence_confidence(evalue: Column, coverage: Column, profile_coverage: Colu
 
 
 def half_open(start: Column, end: Column) -> Column:
-    """1-based closed ends in any order to STRUCT<s, e>, 0-based half-open, not below 0."""
-    return F.struct(F.greatest(F.lit(0), F.least(start, end) - 1).cast("int").alias("s"), F.greatest(F.lit(0), F.greatest(start, end)).cast("int").alias("e"))
+    """1-based closed ends in any order to STRUCT<s, e>, 0-based half-open, not below 0; nulls if an end is null."""
+    both = start.isNotNull() & end.isNotNull()
+    low, high = F.greatest(F.lit(0), F.least(start, end) - 1), F.greatest(F.lit(0), F.greatest(start, end))
+    return F.struct(F.when(both, low).cast("int").alias("s"), F.when(both, high).cast("int").alias("e"))
 
 
 def one_based(start: Column, end: Column, mode: str) -> Column:
-    """STRUCT<s, e>, 1-based and closed, in order. mode: `closed1`, `closed0` (0-based, both inside) or `open0` (half-open)."""
+    """STRUCT<s, e>, 1-based and closed, in order; nulls if an end is null. mode: `closed1`, `closed0` (0-based, both inside) or `open0` (half-open)."""
     shift = {"closed1": (0, 0), "closed0": (1, 1), "open0": (1, 0)}[mode]
     s, e = start + shift[0], end + shift[1]
-    return F.struct(F.least(s, e).alias("s"), F.greatest(s, e).alias("e"))
+    both = start.isNotNull() & end.isNotNull()
+    return F.struct(F.when(both, F.least(s, e)).alias("s"), F.when(both, F.greatest(s, e)).alias("e"))
 
 
 def span_index(norm: Column, length: Column) -> Column:
@@ -67,9 +70,15 @@ def span_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def hull_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Of two closed spans of whole numbers: overlap over the length from the first start to the last end."""
+    """Of two closed spans of whole numbers: overlap over the length from the first start to the last end; null if an end is null."""
     inter = F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2) + 1)
-    return inter / (F.greatest(e1, e2) - F.least(s1, s2) + 1)
+    known = s1.isNotNull() & e1.isNotNull() & s2.isNotNull() & e2.isNotNull()
+    return F.when(known, inter / (F.greatest(e1, e2) - F.least(s1, s2) + 1))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), the value being computed once for a row, also within lambdas over arrays."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def total(v: Column) -> Column:
@@ -86,7 +95,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalised(v: Column, eps: float = 1e-8) -> Column:
     """Of length 1; vectors of a length up to eps are left as they are."""
-    return F.when(norm(v) <= eps, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm(v)))
+    return bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n <= eps, x.cast("double")).otherwise(x.cast("double") / n)))
 
 
 def all_finite(v: Column) -> Column:
@@ -102,20 +111,19 @@ def positions(length: Column, closed: bool = True) -> Column:
 def masked_softmax(logits: Column, mask: Column) -> Column:
     """Softmax over the positions with a true mask, 0 elsewhere; all 0 for an empty mask."""
     inside = F.zip_with(logits, mask, lambda x, m: F.when(m, x.cast("double")))
-    top = F.array_max(inside)
-    raised = F.transform(inside, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    return F.transform(raised, lambda x: F.coalesce(x / F.nullif(total(raised), F.lit(0.0)), F.lit(0.0)))
+    raised = bound(inside, lambda v: bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))))
+    return bound(raised, lambda v: bound(F.nullif(total(v), F.lit(0.0)), lambda t: F.transform(v, lambda x: F.coalesce(x / t, F.lit(0.0)))))
 
 
 def softmax(v: Column) -> Column:
-    raised = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v)))
-    return F.transform(raised, lambda x: x / total(raised))
+    raised = bound(v, lambda a: bound(F.array_max(a).cast("double"), lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top))))
+    return bound(raised, lambda a: bound(total(a), lambda t: F.transform(a, lambda x: x / t)))
 
 
 def entropy(weights: Column) -> Column:
     """-sum w ln w / ln max(L, 2), weights not below 1e-12."""
-    s = F.aggregate(weights, F.lit(0.0), lambda t, w: t - F.greatest(w, F.lit(1e-12)) * F.log(F.greatest(w, F.lit(1e-12))))
-    return s / F.log(F.greatest(F.size(weights), F.lit(2)).cast("double"))
+    s = lambda ws: F.aggregate(ws, F.lit(0.0), lambda t, w: t - F.greatest(w, F.lit(1e-12)) * F.log(F.greatest(w, F.lit(1e-12))))
+    return bound(weights, lambda ws: s(ws) / F.log(F.greatest(F.size(ws), F.lit(2)).cast("double")))
 
 
 def shortest_mass(weights: Column, mass: float) -> Column:

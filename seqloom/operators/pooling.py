@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import total
+from ..functions.numeric import bound, total
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -20,13 +20,15 @@ def _add(a: Column, b: Column) -> Column:
 
 def weighted_pool(vectors: Column, weights: Column) -> Column:
     """sum(w v) / sum(w) of a row's vectors; the plain mean where the weights' sum is at most 1e-12 or not finite; null for no vectors."""
+
+    def pooled(w: Column) -> Column:
+        parts = F.zip_with(vectors, w, lambda v, x: F.transform(v, lambda e: e.cast("double") * x))
+        zero = F.transform(F.element_at(vectors, 1), lambda e: F.lit(0.0))
+        return bound(total(w), lambda t: F.transform(F.aggregate(parts, zero, _add), lambda e: e / t))
+
     w = F.transform(weights, lambda x: x.cast("double"))
-    s = total(w)
-    good = (s > 1e-12) & (s < float("inf"))
-    use = F.when(good, w).otherwise(F.transform(vectors, lambda v: F.lit(1.0)))
-    parts = F.zip_with(vectors, use, lambda v, x: F.transform(v, lambda e: e.cast("double") * x))
-    zero = F.transform(F.element_at(vectors, 1), lambda e: F.lit(0.0))
-    return F.when(F.size(vectors) > 0, F.transform(F.aggregate(parts, zero, _add), lambda e: e / total(use)))
+    ones = F.transform(vectors, lambda v: F.lit(1.0))
+    return F.when(F.size(vectors) > 0, bound(w, lambda x: F.when((total(x) > 1e-12) & (total(x) < float("inf")), pooled(x)).otherwise(pooled(ones))))
 
 
 def mean_pool(vectors: Column) -> Column:

@@ -25,12 +25,12 @@ def sem(x: Column) -> Column:
 
 
 def dose_summary(df: DataFrame, keys: Sequence[str], value: str, positive: Column) -> DataFrame:
-    """(keys, n, mean, sd, sem, positive): rows, mean and spread of the known values, and the fraction that is positive. Null keys are left out."""
+    """(keys, n, mean, sd, sem, positive): rows, mean and spread of the known values, and the fraction of these that is positive. Null keys are left out."""
     x = df
     for k in keys:
         x = x.filter(F.col(k).isNotNull())
     v = F.col(value)
-    return x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(known(v)).alias("mean"), F.stddev_samp(known(v)).alias("sd"), sem(v).alias("sem"), F.avg(positive.cast("double")).alias("positive"))
+    return x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(known(v)).alias("mean"), F.stddev_samp(known(v)).alias("sd"), sem(v).alias("sem"), F.avg(F.when(known(v).isNotNull(), positive.cast("double"))).alias("positive"))
 
 
 def size_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -148,11 +148,11 @@ def cluster_quality(df: DataFrame, vector: str, label: str, most_clusters: int =
     Sums by (cluster, dimension) are combined before the shuffle; only a row a cluster reaches the driver, at most
     `most_clusters` (else an error), as every centre is compared with each other.
     """
-    long = df.filter(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(label).alias("c"), F.posexplode(vector).alias("i", "x"))
-    centres = long.groupBy("c", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    away = long.join(centres, ["c", "i"]).groupBy("c", "id").agg(F.sum((F.col("x") - F.col("m")) ** 2).alias("d2"), F.first("n").alias("n"))
-    each = away.groupBy("c").agg(F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("within"), F.first("n").alias("n"))
-    vec = centres.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda q: q["m"]).alias("v"))
+    x = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("c"), F.col(vector).cast("array<double>").alias("x"))
+    dims = x.select("c", F.posexplode("x").alias("i", "x")).groupBy("c", "i").agg(F.avg("x").alias("m"))
+    vec = dims.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda q: q["m"]).alias("v"))
+    d2 = F.aggregate(F.zip_with("x", "v", lambda p, q: (p - q) ** 2), F.lit(0.0), lambda t, q: t + q)
+    each = x.join(vec, "c").withColumn("d2", d2).groupBy("c").agg(F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("within"), F.count("*").alias("n"))
     rows = each.join(vec, "c").orderBy("c").limit(most_clusters + 1).collect()
     if len(rows) > most_clusters:
         raise ValueError(f"more than {most_clusters} clusters")
