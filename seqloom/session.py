@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,9 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
     return df.checkpoint(eager=eager)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for files that a query writes and reads again."""
+    checkpoint(spark.range(0), eager=False)  # sets the folder where none is set
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
