@@ -32,6 +32,8 @@ BACKGROUND, PASSES, STEPS = 3, 5, 6
 LEAST_SHARE, LEAST_DOCS, ALPHA, ETA = 0.0002, 3, 0.08, 0.01
 #: Weight of the passages in the topics they start: a part of an even share of all words.
 PRIOR = 0.2
+#: Weights in the background at the start, of words that no passage has and of those that some have.
+UNKNOWN, KNOWN = 2.0, 0.2
 #: Least share of sentences, and least words of the subject in a sentence that deals with it.
 #: Further subjects of a sentence need so many words, and this part of the first one's (where the end of a sentence was lost).
 SHARE, LEAST_WORDS, LEAST_MORE, PART_MORE = 0.19, 0.9, 2.5, 0.4
@@ -206,7 +208,7 @@ def fit(texts: DataFrame, examples: DataFrame, areas: DataFrame, passes: int = P
     seeds[len(groups) : len(groups) + len(languages)] = by_language * (1 - certain)
     start = seeds.copy()
     # Words that no passage has start in the background, until the documents tell otherwise.
-    start[len(groups) + len(languages) :] = rng.gamma(1.0, 1.0, (background, len(terms))) * np.where(by_subject.sum(0) > 0, 0.2, 2.0)[None, :]
+    start[len(groups) + len(languages) :] = rng.gamma(1.0, 1.0, (background, len(terms))) * np.where(by_subject.sum(0) > 0, KNOWN, UNKNOWN)[None, :]
     topics = _normalised(start / np.maximum(start.sum(1, keepdims=True), 1e-12) * len(terms), 0.05)
 
     prior = seeds / np.maximum(seeds.sum(1, keepdims=True), 1e-12)
