@@ -51,8 +51,8 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "r")
     """(keys, out): null for fewer than two rows or a constant column."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = df.filter(a.isNotNull() & b.isNotNull())
-    varies = (F.count("*") > 1) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return both.groupBy(*keys).agg(F.when(varies, F.corr(a, b)).alias(out))
+    spread = F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0))
+    return both.groupBy(*keys).agg((F.covar_pop(a, b) / spread).alias(out))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho") -> DataFrame:
