@@ -5,7 +5,7 @@ compact or has few rows. The upper tree is fitted on a bounded sample and spread
 a cell are split on by all its rows, in parallel across the cluster. Vectors near a dividing plane go to both sides,
 so that clusters which a plane cuts are joined again.
 
-The check: in a compact leaf (all within half the limit angle of its centre) every two vectors are linked; in others
+The check: components of a cell with near centres are compared again, whatever planes divided them. In a compact leaf (all within half the limit angle of its centre) every two vectors are linked; in others
 cosines are compared, in double precision where single precision could be wrong. Links in a cell are joined to
 local components, each named by its smallest entry, and the components of all cells by alternating stars over these
 names only. So no pairs are emitted: an entry has one row for each cell in which it has a neighbour.
@@ -26,7 +26,9 @@ from .components import components
 from .vectors import WIDTH, classes, entries, matrix, route, sample, spread, unit, usable
 
 #: Rows of a cell and of a leaf; how near to a dividing plane a vector goes to both sides, in cells and in leaves.
-CELL_ROWS, LEAF_ROWS, REACH, LEAF_REACH = 16_000, 1_000, 0.035, 0.06
+CELL_ROWS, LEAF_ROWS, REACH, LEAF_REACH = 16_000, 1_000, 0.055, 0.04
+#: Components of a cell whose centres have such a cosine are compared member by member.
+NEAR = 0.78
 SLACK = 3e-6
 
 
@@ -155,6 +157,38 @@ def _leaf_labels(x: np.ndarray, exact: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
+def _between(x: np.ndarray, exact: np.ndarray, root: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """A link (row, row) for each two components of a cell that have one but that planes have divided.
+
+    Single rows are compared exactly, as they are their own centres; of larger components only those with near centres.
+    """
+    if not len(x):
+        return
+    order = np.argsort(root, kind="stable")
+    first = np.flatnonzero(np.diff(root[order], prepend=-1))
+    size = np.diff(np.append(first, len(root)))
+    centre = np.add.reduceat(x[order], first, axis=0)
+    centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    single = size == 1
+    for i in range(0, len(centre), 1024):
+        s = centre[i : i + 1024] @ centre[i:].T
+        r, c = np.nonzero(s >= NEAR)
+        keep = (c > r) & ((s[r, c] >= least - SLACK) | ~single[i + r] | ~single[i + c])
+        for a, b in zip((i + r[keep]).tolist(), (i + c[keep]).tolist()):
+            p, q = order[first[a] : first[a] + size[a]], order[first[b] : first[b] + size[b]]
+            for k in range(0, len(p), 1024):
+                t = x[p[k : k + 1024]] @ x[q].T
+                u, v = np.unravel_index(t.argmax(), t.shape)
+                if t[u, v] >= least + SLACK:
+                    yield int(p[k + u]), int(q[v])
+                    break
+                u, v = np.nonzero(t >= least - SLACK)
+                ok = np.flatnonzero(np.round(np.einsum("ij,ij->i", exact[p[k + u]], exact[q[v]]), 6) >= least)
+                if len(ok):
+                    yield int(p[k + u[ok[0]]]), int(q[v[ok[0]]])
+                    break
+
+
 def cell_components(vectors: np.ndarray, ids: list[np.ndarray], least: float, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(entry, root): each entry of the cell that has a link in it, and the smallest entry of its local component."""
     exact = unit(vectors)
@@ -183,6 +217,11 @@ def cell_components(vectors: np.ndarray, ids: list[np.ndarray], least: float, se
             a, b = top(i), top(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
+    for i, j in _between(x, exact, np.array([top(i) for i in range(len(x))], np.int64), least):
+        linked[[i, j]] = True
+        a, b = top(i), top(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
     rows = np.flatnonzero(linked)
     roots = np.array([top(i) for i in rows], np.int64)
     sizes = np.array([len(ids[i]) for i in rows], np.int64)
