@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .vectors import WIDTH, classes, entries, route, sample, spread, unit
 
 #: Rows of a cell and of a leaf, width of a bucket in standard deviations, reach of probes at unit distance.
-CELL_ROWS, LEAF_ROWS, BUCKET, REACH, TABLES = 16_000, 1_200, 2.25, 0.2, 2
+CELL_ROWS, LEAF_ROWS, BUCKET, REACH, TABLES = 16_000, 1_200, 2.25, 0.25, 2
 #: Bounds the error of single-precision products of unit vectors.
 SLACK = 3e-6
 SCALE = 1_000_000
