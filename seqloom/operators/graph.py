@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .sampling import ordinals
 
 #: Queries that are sent to all rows at a time.
 QUERY_BLOCK = 4096
@@ -38,7 +39,10 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, me
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
     parts = []
-    block = asked.orderBy("key").withColumn("b", F.floor((F.row_number().over(Window.orderBy("key")) - 1) / QUERY_BLOCK)) if asked.count() > QUERY_BLOCK else asked.withColumn("b", F.lit(0))
+    if asked.count() > QUERY_BLOCK:
+        block = ordinals(asked, ["key"], "n").select("key", "v", F.floor(F.col("n") / QUERY_BLOCK).alias("b"))
+    else:
+        block = asked.withColumn("b", F.lit(0))
     block = checkpoint(block)
     for b in sorted(r.b for r in block.select("b").distinct().collect()):
         got = block.filter(F.col("b") == b).orderBy("key").collect()

@@ -242,7 +242,7 @@ def test_mutate(mode):
     assert sampling.mutate("", np.arange(0), 0.5, mode, 1) == ("", [])
 
 
-def test_nearest_and_graph(spark):
+def test_nearest_and_graph(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(120, 8))
     x[7] = x[3]
@@ -257,6 +257,9 @@ def test_nearest_and_graph(spark):
             s = np.maximum(0, u @ u[q]) if metric == "cosine" else 1 / (1 + np.linalg.norm(d - d[q], axis=1))
             want = [i for i in np.lexsort((np.arange(120), -np.round(s, 6))) if i != q][:4]
             assert [r.key for r in sorted(got, key=lambda r: r["rank"]) if r.query == q] == want
+    whole = graph.nearest(df, "id", "v", df.filter("id < 30"), 4).collect()
+    monkeypatch.setattr(graph, "QUERY_BLOCK", 7)  # several blocks
+    assert sorted(graph.nearest(df, "id", "v", df.filter("id < 30"), 4).collect()) == sorted(whole)
     none = df.limit(0)
     assert graph.nearest(none, "id", "v", none, 3).collect() == []
     edges = spark.createDataFrame([(a, b, 1.0) for c in ((0, 1, 2, 3), (10, 11, 12)) for a, b in itertools.combinations(c, 2)], "src bigint, dst bigint, weight double")
