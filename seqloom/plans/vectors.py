@@ -149,9 +149,9 @@ def j16_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between the queries themselves, so that both directions exist."""
-    q = _queries(spark, d)
-    return checkpoint(G.nearest(q, "vec_id", "embedding", q, 5))
+    """Every vector's five most similar of all, so that both directions exist."""
+    x = _emb(spark, d)
+    return checkpoint(G.nearest(x, "vec_id", "embedding", x, 5))
 
 
 def g1_undirected(spark: SparkSession, d: str) -> DataFrame:
