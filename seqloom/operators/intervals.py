@@ -6,6 +6,7 @@ Intervals are rows (keys..., s, e). `touch` is how far beyond its end an interva
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -72,6 +73,42 @@ def coverage_summary(df: DataFrame, key: str, model: str, length: str, s: str =
     return top.groupBy(key).agg(F.array_join(parts, ",").alias("summary"))
 
 
+class _Lanes:
+    """Last ends of lanes in a tree of minima, so that the first free lane is found in steps of the depth."""
+
+    def __init__(self):
+        self.used, self.size, self.least = 0, 1, [math.inf, math.inf]
+
+    def take(self, start: float, end: float) -> int:
+        """The first lane whose last end is before start, else a new one; it ends at end from now on."""
+        least = self.least
+        if least[1] < start:
+            at = 1
+            while at < self.size:
+                at *= 2
+                if not least[at] < start:
+                    at += 1
+        else:
+            if self.used == self.size:
+                least = self._grow()
+            at = self.size + self.used
+            self.used += 1
+        lane = at - self.size
+        least[at] = end if end == end else math.inf  # nothing begins after NaN
+        while at > 1:
+            at //= 2
+            least[at] = min(least[2 * at], least[2 * at + 1])
+        return lane
+
+    def _grow(self) -> list[float]:
+        leaves = self.least[self.size :] + [math.inf] * self.size
+        self.size *= 2
+        self.least = [math.inf] * self.size + leaves
+        for at in range(self.size - 1, 0, -1):
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+        return self.least
+
+
 def pack_lanes(df: DataFrame, key: str, s: str = "s", e: str = "e", order: str = "ord") -> DataFrame:
     """(key, order, s, e, lane): each interval, in order, in the first lane whose last end is before its start.
 
@@ -80,15 +117,13 @@ def pack_lanes(df: DataFrame, key: str, s: str = "s", e: str = "e", order: str =
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        present, ends = object(), []
+        present, free = object(), _Lanes()
         for batch in batches:
             lanes = []
             for k, start, end in zip(batch[key].tolist(), batch[s].tolist(), batch[e].tolist()):
                 if k != present:
-                    present, ends = k, []
-                lane = next((i for i, x in enumerate(ends) if x < start), len(ends))
-                ends[lane : lane + 1] = [end]
-                lanes.append(lane)
+                    present, free = k, _Lanes()
+                lanes.append(free.take(start, end))
             yield batch.assign(lane=lanes)
 
     rows = df.select(key, order, s, e).filter(F.col(s).isNotNull() & F.col(e).isNotNull() & F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order)

@@ -69,7 +69,8 @@ def i6_span_iou(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i8_pack_lanes(spark: SparkSession, d: str) -> DataFrame:
-    h = _hits(spark, d).filter("i_evalue <= 1e-20").withColumn("e", F.col("e") - 1)
+    """Lanes of all hits with both ends, in the order of their ids."""
+    h = _hits(spark, d).withColumn("e", F.col("e") - 1)
     return I.pack_lanes(h, "qid", order="hit_id")
 
 

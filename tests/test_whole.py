@@ -48,3 +48,30 @@ def test_communities_of_all_vectors(spark, data, directed):
     consensus = {(r.src, r.dst) for r in vectors.g6_consensus(spark, data).collect()}
     assert consensus <= pairs and any(a % 20 or b % 20 for a, b in consensus)
     assert {r.node for r in vectors.g8_consensus_clusters(spark, data).collect()} == {n for p in consensus for n in p}
+
+
+def test_lanes_of_all_hits(spark, data):
+    from seqloom.plans import spans
+
+    sql = f"""select hit_id, trim(qid, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), greatest(0, least(ali_from, ali_to) - 1), greatest(0, ali_from, ali_to) - 1
+      from '{data}/hmmer_dom_hits.parquet' where qid is not null and ali_from is not null and ali_to is not null order by hit_id"""
+    lanes, want = {}, {}
+    for hit, qid, s, e in duckdb.sql(sql).fetchall():
+        ends = lanes.setdefault(qid, [])
+        lane = next((i for i, x in enumerate(ends) if x < s), len(ends))
+        ends[lane : lane + 1] = [e]
+        want[hit] = (qid, s, e, lane)
+    assert {r.hit_id: (r.qid, r.s, r.e, r.lane) for r in spans.i8_pack_lanes(spark, data).collect()} == want
+
+
+def test_first_free_lane():
+    from seqloom.operators.intervals import _Lanes
+
+    rng = np.random.default_rng(1)
+    free, ends = _Lanes(), []
+    for _ in range(3000):
+        s = int(rng.integers(0, 900))
+        e = s + int(rng.integers(0, 300))
+        lane = next((i for i, x in enumerate(ends) if x < s), len(ends))
+        ends[lane : lane + 1] = [e]
+        assert free.take(s, e) == lane
