@@ -29,8 +29,8 @@ def f21_l2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f19_positions(spark: SparkSession, d: str) -> DataFrame:
-    """The position channel of the first 20 residues' lengths."""
-    x = table(spark, d, "pooled_json").select("entry_id", "exported_at", N.positions(F.least(F.col("L"), F.lit(20))).alias("p"))
+    """The position channel of each entry, over its whole length."""
+    x = table(spark, d, "pooled_json").select("entry_id", "exported_at", N.positions(F.col("L")).alias("p"))
     return x.select("entry_id", "exported_at", _rounded("p").alias("p"))
 
 

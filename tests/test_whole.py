@@ -75,3 +75,11 @@ def test_first_free_lane():
         lane = next((i for i, x in enumerate(ends) if x < s), len(ends))
         ends[lane : lane + 1] = [e]
         assert free.take(s, e) == lane
+
+
+def test_positions_of_the_whole_length(spark, data):
+    want = {(i, t): n for i, t, n in duckdb.sql(f"select entry_id, exported_at, L from '{data}/pooled_json.parquet'").fetchall()}
+    got = {(r.entry_id, r.exported_at): r.p for r in vectors.f19_positions(spark, data).collect()}
+    assert {i for i, _ in got} == {i for i, _ in want} and max(want.values()) > 20
+    assert sorted(map(len, got.values())) == sorted(want.values())
+    assert all(p == pytest.approx([i / max(1, len(p) - 1) for i in range(len(p))], abs=1e-6) for p in got.values())
