@@ -7,7 +7,8 @@ distances to the boundaries that are crossed add up along the levels, and all bu
 visited. Both the stored vectors and the queries do so, which doubles the margin.
 
 One coarse table spreads the vectors over cells; within a cell, TABLES finer tables give candidates, which are merged
-and ranked by exact cosines in double precision.
+and ranked by exact cosines in double precision. Rows with very many others within the limit are compared with their
+whole cell, and large dense groups in cells of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .vectors import WIDTH, classes, entries, route, sample, spread, unit
 CELL_ROWS, LEAF_ROWS, BUCKET, REACH, TABLES = 16_000, 1_200, 2.25, 0.25, 2
 #: Bounds the error of single-precision products of unit vectors.
 SLACK = 3e-6
+#: Dense groups: least cosine of crowding, of members to the centre (the limit angle), of all that may be near members (twice that angle); the share of the sample and how many of it are counted.
+CROWD, INNER, OUTER, SHARE, COUNTED = 0.85, 0.9, 0.62, 1 / 128, 4096
 SCALE = 1_000_000
 
 
@@ -79,29 +82,95 @@ class StableTree:
                 stack.append((kid, rows[visit], total[visit]))
 
 
-def _candidates(x: np.ndarray, k: int, least: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+class DenseCells:
+    """The cells of a tree, and for each dense group of the sample further cells in which all its pairs meet.
+
+    Planes can't tell the nearest in a group of different vectors that all lie near each other. So the vectors
+    within the limit angle of a group's centre, and all that may be near those, are dealt into blocks, and each two
+    blocks are a cell that is compared exactly. Its cost grows with the square of the group.
+    """
+
+    def __init__(self, tree: StableTree, drawn: np.ndarray, rows: int, cell_rows: int):
+        self.tree, self.first = tree, tree.leaves
+        self.groups: list[tuple[np.ndarray, int, int]] = []
+        start = tree.leaves
+        for c in dense_centres(drawn) if tree.leaves > 1 else ():
+            many = float((drawn @ c >= OUTER).mean()) * rows
+            blocks = 1 if many <= cell_rows else int(np.ceil(2 * many / cell_rows))
+            self.groups.append((c, blocks, start))
+            start += blocks * blocks
+
+    def __call__(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        yield from self.tree(x)
+        for c, blocks, start in self.groups:
+            at = np.flatnonzero(x @ c >= OUTER)
+            bits = np.ascontiguousarray(x[at]).view(np.uint32).astype(np.uint64)
+            block = ((bits * np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64)).sum(1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
+            mine = [at[block == i] for i in range(blocks)]
+            if blocks == 1:
+                yield start, at
+            for i in range(blocks):
+                for j in range(i + 1, blocks):
+                    yield start + i * blocks + j, np.concatenate((mine[i], mine[j]))
+
+
+def dense_centres(drawn: np.ndarray) -> list[np.ndarray]:
+    """Centres of groups that hold at least SHARE of the sample, in the order of their density."""
+    y = drawn[:: max(1, len(drawn) // COUNTED)]
+    near = np.concatenate([y[i : i + 512] @ y.T >= CROWD for i in range(0, len(y), 512)]) if len(y) else np.empty((0, 0), bool)
+    count = near.sum(1)
+    left = count >= max(8, SHARE * len(y))
+    centres = []
+    while left.any():
+        top = int(np.where(left, count, -1).argmax())
+        c = y[near[top]].mean(0)
+        c /= np.sqrt((c * c).sum())
+        centres.append(c.astype(np.float32))
+        left &= y @ c < INNER
+        left[top] = False
+    return centres
+
+
+def _compare(x: np.ndarray, rows: np.ndarray, others: np.ndarray, own: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, other) that may be among the k best of others; own is where a row stands in others."""
+    y = x[others]
+    step = max(64, min(2048, 16_000_000 // max(1, len(others))))  # bounds the memory of large leaves
+    for i in range(0, len(rows), step):
+        s = x[rows[i : i + step]] @ y.T
+        s[np.arange(len(s)), own[i : i + step]] = -1
+        mask = s >= least - SLACK
+        many = np.flatnonzero(mask.sum(1) > 3 * k)
+        if len(many):
+            best = s[many]
+            cut = np.partition(best, best.shape[1] - k, axis=1)[:, -k]
+            mask[many] &= best >= cut[:, None] - SLACK
+        r, o = np.nonzero(mask)
+        yield rows[r + i], others[o]
+
+
+def _crowded(x: np.ndarray, least: float) -> np.ndarray:
+    """Rows that, by a sample, have so many within the limit that leaves would part them from their nearest."""
+    y = x[:: max(1, len(x) // 1024)]
+    most = LEAF_ROWS / 2 * len(y) / len(x)
+    return np.flatnonzero(np.concatenate([(x[i : i + 4096] @ y.T >= least).sum(1) >= most for i in range(0, len(x), 4096)]))
+
+
+def _candidates(x: np.ndarray, k: int, least: float, seed: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, other) of distinct pairs that may be among a row's k best; all that tie with the last are in it."""
-    found_rows, found_others = [], []
     n = len(x)
-    for t in range(TABLES if n > LEAF_ROWS else 1):
-        leaves = [(0, np.arange(n))] if n <= LEAF_ROWS else StableTree(x, LEAF_ROWS, seed + t)(x)
-        for _, at in leaves:
-            y = x[at]
-            for i in range(0, len(at), 2048):  # bounds the memory of leaves that can't be divided
-                s = y[i : i + 2048] @ y.T
-                s[np.arange(len(s)), np.arange(i, i + len(s))] = -1
-                mask = s >= least - SLACK
-                many = np.flatnonzero(mask.sum(1) > 3 * k)
-                if len(many):
-                    best = s[many]
-                    cut = np.partition(best, best.shape[1] - k, axis=1)[:, -k]
-                    mask[many] &= best >= cut[:, None] - SLACK
-                r, o = np.nonzero(mask)
-                found_rows.append(at[r + i])
-                found_others.append(at[o])
-    if not found_rows:
+    every = np.arange(n)
+    found = []
+    if n <= LEAF_ROWS or exact:
+        found += _compare(x, every, every, every, k, least)
+    else:
+        for t in range(TABLES):
+            for _, at in StableTree(x, LEAF_ROWS, seed + t)(x):
+                found += _compare(x, at, at, np.arange(len(at)), k, least)
+        crowded = _crowded(x, least)
+        found += _compare(x, crowded, every, crowded, k, least)
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    key = np.unique(np.concatenate(found_rows).astype(np.int64) * n + np.concatenate(found_others))
+    key = np.unique(np.concatenate([r for r, _ in found]).astype(np.int64) * n + np.concatenate([o for _, o in found]))
     return key // n, key % n
 
 
@@ -112,10 +181,10 @@ def _expand(groups: list[np.ndarray], sizes: np.ndarray, starts: np.ndarray, fla
     return pos, flat[np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
 
 
-def best_of_cell(vectors: np.ndarray, ids: list[np.ndarray], k: int, least: float, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_cell(vectors: np.ndarray, ids: list[np.ndarray], k: int, least: float, seed: int = 3, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, loss, b): of each entry a of the cell its k best b, loss = 1,000,000 * (1 - cosine rounded to 6 decimals)."""
     x = unit(vectors)
-    row, other = _candidates(x.astype(np.float32), k, least, seed)
+    row, other = _candidates(x.astype(np.float32), k, least, seed, exact)
     cosine = np.empty(len(row))
     for i in range(0, len(row), 100_000):
         cosine[i : i + 100_000] = np.einsum("ij,ij->i", x[row[i : i + 100_000]], x[other[i : i + 100_000]])
@@ -147,15 +216,16 @@ def most_similar(df: DataFrame, k: int = 5, least: float = 0.9, cell_rows: int =
     at least `least`; of equal ones the smaller id comes first. Entries without any have no row. followers are
     entries with the very same vector as entry_id, in large groups of copies; their best are those of entry_id and
     entry_id itself, see `pairs`. The search may miss a few neighbours (README.md gives measured shares); what is
-    found is exact. The trees are fitted on a sample of SAMPLE vectors; every vector is stored and searched.
+    found is exact. Dense groups of at least SHARE of the rows are compared exactly (for limits of INNER and more). The trees are fitted on a sample of SAMPLE vectors; every vector is stored and searched.
     """
     source = entries(df)
     drawn, rows = sample(source)
     tree = StableTree(drawn, max(64, int(cell_rows * len(drawn) / max(rows, 1))), seed, reach)
+    cells = DenseCells(tree, drawn, rows, cell_rows)
 
     def cell(table: pa.Table) -> pa.Table:
         vectors, ids, follow = classes(table)
-        a, loss, b = best_of_cell(vectors, ids, k, least) if len(ids) else (np.empty(0, np.int64),) * 3
+        a, loss, b = best_of_cell(vectors, ids, k, least, exact=table.column("cell")[0].as_py() >= cells.first) if len(ids) else (np.empty(0, np.int64),) * 3
         who, begin = np.unique(a, return_index=True)
         offsets = pa.array(np.append(begin, len(a)).astype(np.int32))
         best = [pa.ListArray.from_arrays(offsets, pa.array(loss.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(b))]
@@ -165,7 +235,7 @@ def most_similar(df: DataFrame, k: int = 5, least: float = 0.9, cell_rows: int =
         second = pa.table([pa.array([int(f[0]) for f in follow], kinds[0]), pa.array([[]] * len(follow), kinds[1]), pa.array([[]] * len(follow), kinds[2]), pa.array([f[1:].tolist() for f in follow], kinds[3])], names)
         return pa.concat_tables([first, second.cast(first.schema)])
 
-    found = spread(route(source, tree)).groupBy("cell").applyInArrow(cell, "a bigint, losses array<int>, bs array<bigint>, followers array<bigint>")
+    found = spread(route(source, cells)).groupBy("cell").applyInArrow(cell, "a bigint, losses array<int>, bs array<bigint>, followers array<bigint>")
     # A row for each cell that an entry visits, so the lists of a group are few and short.
     merged = found.groupBy("a").agg(F.collect_list(F.arrays_zip("losses", "bs")).alias("lists"), F.flatten(F.collect_list("followers")).alias("followers"))
     best = F.slice(F.array_sort(F.array_distinct(F.flatten("lists"))), 1, k)
