@@ -18,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .common import small
 from .components import components
-from .vectors import WIDTH, classes, entries, matrix, route, sample, spread, unit, usable
+from .vectors import WIDTH, classes, entries, matrix, pack, route, sample, spread, unit, unpack, usable
 
 #: Rows of a cell and of a leaf; how near to a dividing plane a vector goes to both sides, in cells and in leaves.
 CELL_ROWS, LEAF_ROWS, REACH, LEAF_REACH = 16_000, 1_000, 0.055, 0.04
 #: Components of a cell whose centres have such a cosine are compared member by member.
 NEAR = 0.78
 SLACK = 3e-6
+#: Entries of a cluster that are described in one task; larger clusters are described from sums.
+MOST_HELD = 10_000
 
 
 class BisectingTree:
@@ -264,30 +267,93 @@ def clusters(df: DataFrame, least: float = 0.9, cell_rows: int = CELL_ROWS, seed
     return named.unionByName(after.select(F.col("copy").alias("entry_id"), "cluster_id")).groupBy("entry_id").agg(F.min("cluster_id").alias("cluster_id"))
 
 
-def describe(df: DataFrame, found: DataFrame, typical: int = 3) -> DataFrame:
+def _vectors(df: DataFrame) -> DataFrame:
+    """(entry_id, vec): one packed vector for each entry with a usable one; of several different ones the least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = matrix(batch.column("v"))
+            ok = usable(v)
+            yield pa.RecordBatch.from_arrays([batch.column("entry_id").filter(pa.array(ok)), pa.array(pack(v[ok]), pa.binary())], ["entry_id", "vec"])
+
+    return entries(df).mapInArrow(run, "entry_id bigint, vec binary").groupBy("entry_id").agg(F.min("vec").alias("vec"))
+
+
+def _portray(cluster: np.ndarray, entry: np.ndarray, vec: list[bytes], typical: int) -> pa.RecordBatch:
+    """A row for each cluster, whose rows follow each other: its size, mean cosine with the centre and the nearest entries."""
+    x = unit(unpack(vec))
+    first = np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1))
+    size = np.diff(np.append(first, len(cluster)))
+    centre = np.add.reduceat(x, first, axis=0)
+    centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    of = np.repeat(np.arange(len(first)), size)
+    cosine = np.round(np.einsum("ij,ij->i", x, centre[of]), 9)
+    order = np.lexsort((entry, -cosine, of))
+    nth = np.arange(len(order)) - np.repeat(first, size)
+    top = order[nth < typical]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.minimum(size, typical)))).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(cluster[first]), pa.array(size.astype(np.int64)), pa.array(np.round(np.add.reduceat(cosine, first) / size, 9)), pa.ListArray.from_arrays(offsets, pa.array(entry[top]))], ["cluster_id", "size", "compactness", "typical"])
+
+
+def describe(df: DataFrame, found: DataFrame, typical: int = 3, most: int = MOST_HELD) -> DataFrame:
     """(cluster_id, size, compactness, typical): of each cluster its size, its mean cosine with the centre, and the entries nearest to it.
 
-    The centre is the mean of the unit vectors. Sums are made within partitions first, so that a large cluster
-    costs one vector for each of them.
+    df: entry_id and pools; found: entry_id, cluster_id, unique entries. The centre is the mean of the unit vectors;
+    cosines are rounded to 9 decimals, of equal ones the smaller entry comes first. An entry with several different
+    vectors counts with the least of them. The table is read once, and vectors are shuffled twice: to their clusters'
+    names and to their clusters. Clusters of up to `most` entries lie in one task each; of larger ones only sums of
+    batches travel, and the centres are joined back. Without clusters there are no rows.
     """
-    members = entries(df).dropDuplicates(["entry_id"]).join(found, "entry_id").select("cluster_id", "entry_id", "v")
+    sizes = found.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    named = found.select("entry_id", "cluster_id").join(sizes.hint("shuffle_hash"), "cluster_id")
+    # Merge joins: the estimate for a column of bytes takes all vectors for a table that can be broadcast.
+    members = _vectors(df).hint("merge").join(named, "entry_id").select("cluster_id", "entry_id", "vec", "size")
+    salt = F.when(F.col("size") > most, F.pmod(F.xxhash64("entry_id"), F.ceil(F.col("size") / most))).otherwise(0)
+    members = checkpoint(members.withColumn("salt", salt).repartition("cluster_id", "salt").sortWithinPartitions("cluster_id", "entry_id"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, entry, vec = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for batch in batches:
+            cluster = np.concatenate((cluster, batch.column("cluster_id").to_numpy()))
+            entry = np.concatenate((entry, batch.column("entry_id").to_numpy()))
+            vec += batch.column("vec").to_pylist()
+            done = int(np.searchsorted(cluster, cluster[-1])) if len(cluster) else 0  # the last one may go on
+            if done:
+                yield _portray(cluster[:done], entry[:done], vec[:done], typical)
+                cluster, entry, vec = cluster[done:], entry[done:], vec[done:]
+        if len(cluster):
+            yield _portray(cluster, entry, vec, typical)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cluster, x = batch.column("cluster_id").to_numpy(), unit(matrix(batch.column("v")))
-            names, at = np.unique(cluster, return_inverse=True)
-            total = np.zeros((len(names), x.shape[1]))
-            np.add.at(total, at, x)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), pa.array(np.bincount(at))], ["cluster_id", "s", "n"])
+            if not batch.num_rows:
+                continue
+            cluster, x = batch.column("cluster_id").to_numpy(), unit(unpack(batch.column("vec").to_pylist()))
+            first = np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(cluster[first]), pa.array(np.add.reduceat(x, first, axis=0).tolist())], ["cluster_id", "s"])
 
-    partial = members.mapInArrow(sums, "cluster_id bigint, s array<double>, n bigint")
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cluster, entry, x = batch.column("cluster_id").to_numpy(), batch.column("entry_id").to_numpy(), unit(unpack(batch.column("vec").to_pylist()))
+            cosine = np.round(np.einsum("ij,ij->i", x, matrix(batch.column("centre"), np.float64)), 9)
+            order = np.lexsort((entry, -cosine, cluster))
+            cluster, entry, cosine = cluster[order], entry[order], cosine[order]
+            first = np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1))
+            top = [list(zip((-cosine[a : min(b, a + typical)]).tolist(), entry[a : min(b, a + typical)].tolist())) for a, b in zip(first, [*first[1:], len(cluster)])]
+            each = pa.array([[{"loss": c, "entry": e} for c, e in t] for t in top], pa.list_(pa.struct([("loss", pa.float64()), ("entry", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(cluster[first]), pa.array(np.diff(np.append(first, len(cluster)))), pa.array(np.add.reduceat(cosine, first)), each], ["cluster_id", "n", "cosine", "top"])
+
+    few = members.filter(F.col("size") <= most).select("cluster_id", "entry_id", "vec").mapInArrow(whole, "cluster_id bigint, size bigint, compactness double, typical array<bigint>")
+    many = members.filter(F.col("size") > most).select("cluster_id", "entry_id", "vec")
     each = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(WIDTH)]
-    centres = partial.groupBy("cluster_id").agg(F.sum("n").alias("size"), *each).select("cluster_id", "size", F.array(*(f"s{i}" for i in range(WIDTH))).alias("centre"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda t, p: t + p)
-    near = members.join(centres, "cluster_id").withColumn("cosine", dot("v", "centre") / F.sqrt(dot("v", "v") * dot("centre", "centre")))
-    near = near.select("cluster_id", "size", "entry_id", F.round("cosine", 9).alias("cosine"))
-    rank = Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), "entry_id")
-    best = near.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= typical)
-    top = best.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("n", "entry_id"))).alias("t"))
-    whole = near.groupBy("cluster_id").agg(F.first("size").alias("size"), F.avg("cosine").alias("compactness"))
-    return whole.join(top, "cluster_id").select("cluster_id", "size", "compactness", F.col("t.entry_id").alias("typical"))
+    centres = many.select("cluster_id", "vec").mapInArrow(sums, "cluster_id bigint, s array<double>").groupBy("cluster_id").agg(*each)
+    length = F.greatest(F.sqrt(sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(WIDTH)), F.lit(0.0))), F.lit(1e-12))
+    # At most one row for each `most` entries, and broadcast only if counted.
+    centres = small(centres.select("cluster_id", F.array(*(F.col(f"s{i}") / length for i in range(WIDTH))).alias("centre")))
+    near = many.join(centres, "cluster_id").select("cluster_id", "entry_id", "vec", "centre")
+    near = near.mapInArrow(nearest, "cluster_id bigint, n bigint, cosine double, top array<struct<loss: double, entry: bigint>>")
+    top = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, typical)
+    large = near.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.round(F.sum("cosine") / F.sum("n"), 9).alias("compactness"), F.transform(top, lambda t: t["entry"]).alias("typical"))
+    return few.unionByName(large)

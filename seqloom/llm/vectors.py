@@ -30,9 +30,9 @@ def entries(df: DataFrame, pool: str = "backbone", kind: str = "span_attn_norm",
     return df.select(F.col("entry_id").cast("bigint").alias("entry_id"), v.alias("v")).filter((F.size("v") == width) & F.col("entry_id").isNotNull())
 
 
-def matrix(column: pa.ListArray) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, WIDTH), np.float32)
+def matrix(column: pa.ListArray, kind: type = np.float32) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, WIDTH), kind)
 
 
 def unit(v: np.ndarray) -> np.ndarray:

@@ -140,3 +140,14 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert C.clusters(none).collect() == []
     assert N.pairs(N.most_similar(none)).collect() == []
+
+
+def test_description_of_large_clusters(spark):
+    """The same from sums of batches, and with an entry whose rows differ."""
+    vectors, rows = make(2)
+    rows.append((rows[0][0], {"backbone": {"span_attn_norm": [3.0] * 64}}, "x", 1, 2, 3))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = spark.createDataFrame(sorted(true_clusters(vectors)), "entry_id bigint, cluster_id bigint")
+    whole = sorted(map(repr, C.describe(df, found).collect()))
+    assert whole == sorted(map(repr, C.describe(df.repartition(5), found, most=20).collect()))
+    assert C.describe(df, found.filter("entry_id < 0")).collect() == []
