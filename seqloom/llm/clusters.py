@@ -1,14 +1,17 @@
 """Clusters of mutually similar vectors, by bisecting k-means with an exact check of links.
 
 A tree of two-means splits divides the vectors: the node of the largest dispersion is split first, until every leaf is
-compact or has few rows. The upper tree is fitted on a bounded sample and spreads all vectors over cells; the nodes of
+compact or has few rows. Upper trees are fitted on a bounded sample and spread all vectors over cells; the nodes of
 a cell are split on by all its rows, in parallel across the cluster. Vectors near a dividing plane go to both sides,
-so that clusters which a plane cuts are joined again.
+so that clusters which a plane cuts are joined again, and TABLES upper trees with other planes each do so.
 
-The check: components of a cell with near centres are compared again, whatever planes divided them. In a compact leaf (all within half the limit angle of its centre) every two vectors are linked; in others
-cosines are compared, in double precision where single precision could be wrong. Links in a cell are joined to
-local components, each named by its smallest entry, and the components of all cells by alternating stars over these
-names only. So no pairs are emitted: an entry has one row for each cell in which it has a neighbour.
+The check: in a compact leaf (all within half the limit angle of its centre) every two vectors are linked; in others
+cosines are compared, in double precision where single precision could be wrong. What the planes of a cell divide is
+compared again by the centres and radii of its components, so that no link within a cell is missed. Links in a cell are
+joined to local components, each named by its smallest entry, and the components of all cells by alternating stars over
+these names only. So no pairs are emitted: an entry has one row for each cell in which it has a neighbour.
+
+`leaves` reports the leaves themselves.
 """
 
 from __future__ import annotations
@@ -24,45 +27,53 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .common import small
 from .components import components
-from .vectors import WIDTH, classes, entries, matrix, pack, route, sample, spread, unit, unpack, usable
+from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, matrix, pack, route, sample, spread, unit, unpack, usable
 
-#: Rows of a cell and of a leaf; how near to a dividing plane a vector goes to both sides, in cells and in leaves.
-CELL_ROWS, LEAF_ROWS, REACH, LEAF_REACH = 16_000, 1_000, 0.055, 0.04
-#: Components of a cell whose centres have such a cosine are compared member by member.
-NEAR = 0.78
+#: Rows of a cell and of a leaf; how near to a dividing plane a vector goes to both sides, in cells and in leaves; upper trees.
+CELL_ROWS, LEAF_ROWS, REACH, LEAF_REACH, TABLES = 8_000, 1_000, 0.025, 0.04, 2
 SLACK = 3e-6
 #: Entries of a cluster that are described in one task; larger clusters are described from sums.
 MOST_HELD = 10_000
 
 
 class BisectingTree:
-    """Nodes are split by two-means until they have at most `most` rows or all rows within `compact` (a cosine) of the centre."""
+    """Nodes are split by two-means until they have at most `most` of the `rows` that x is a sample of, or all of x within `compact` (a cosine) of the centre."""
 
-    def __init__(self, x: np.ndarray, most: int, seed: int, reach: float, compact: float = 2.0, rounds: int = 8):
+    def __init__(self, x: np.ndarray, most: int, seed: int, reach: float, compact: float = 2.0, rounds: int = 8, rows: int | None = None):
         self.reach = reach
         self.nodes: list[tuple | None] = [None]
         self.compact: set[int] = set()
         rng = np.random.default_rng(seed)
-        queue = [(-self._dispersion(x), 0, np.arange(len(x)))]
+        whole = float(len(x) if rows is None else rows)
+        queue = [(-self._dispersion(x), 0, np.arange(len(x)), whole, x.mean(0) if len(x) else np.zeros(WIDTH, np.float32), 0.0)]
         while queue:
-            _, node, rows = heapq.heappop(queue)
-            if len(rows) <= most:
-                continue
-            y = x[rows]
-            centre = y.mean(0)
-            centre /= max(float(np.linalg.norm(centre)), 1e-12)
-            if float((y @ centre).min()) >= compact:
-                self.compact.add(node)
+            _, node, at, many, centre, above = heapq.heappop(queue)
+            if many <= most:
                 continue
-            plane = self._two_means(y, rng, rounds)
+            y = x[at]
+            if len(y) >= 8:
+                centre = y.mean(0)
+            fits = len(y) >= (2 if rows is None else LEAST_FIT)
+            if fits:
+                if float((y @ (centre / max(float(np.linalg.norm(centre)), 1e-12))).min()) >= compact:
+                    self.compact.add(node)
+                    continue
+                plane = self._two_means(y, rng, rounds)
+            elif above > 0:  # the sample is used up: any plane through the centre
+                d = rng.standard_normal(len(centre))
+                d = (d / np.linalg.norm(d)).astype(np.float32)
+                plane = d, float(centre @ d), above
+            else:
+                plane = None
             if plane is None:
                 continue
             side = y @ plane[0] > plane[1]
             left, right = len(self.nodes), len(self.nodes) + 1
             self.nodes += [None, None]
             self.nodes[node] = (*plane, left, right)
-            for kid, part in ((left, rows[~side]), (right, rows[side])):
-                heapq.heappush(queue, (-self._dispersion(x[part]), kid, part))
+            share = float(side.mean()) if fits else 0.5
+            for kid, part, weight in ((left, at[~side], 1 - share), (right, at[side], share)):
+                heapq.heappush(queue, (-self._dispersion(x[part]), kid, part, many * weight, centre, plane[2]))
 
     @staticmethod
     def _dispersion(y: np.ndarray) -> float:
@@ -91,22 +102,44 @@ class BisectingTree:
                     return (d / far).astype(np.float32), float((a @ a - b @ b) / 2 / far), far
         return None
 
-    def __call__(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows of x in it or near it)."""
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, row) of every visit: the leaves in which, or near which, a row of x lies."""
         stack = [(0, np.arange(len(x)))]
+        leaf, row = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while stack:
-            node, rows = stack.pop()
-            if not len(rows):
+            node, at = stack.pop()
+            if not len(at):
                 continue
             split = self.nodes[node]
             if split is None:
-                yield node, rows
+                leaf.append(np.full(len(at), node))
+                row.append(at)
                 continue
             direction, offset, far, left, right = split
-            margin = x[rows] @ direction - offset
+            margin = x[at] @ direction - offset
             reach = min(self.reach, 0.15 * far)
-            stack.append((right, rows[margin > -reach]))
-            stack.append((left, rows[margin <= reach]))
+            stack.append((right, at[margin > -reach]))
+            stack.append((left, at[margin <= reach]))
+        return np.concatenate(leaf), np.concatenate(row)
+
+
+class Trees:
+    """The cells of several upper trees."""
+
+    def __init__(self, drawn: np.ndarray, rows: int, cell_rows: int, tables: int, seed: int, reach: float):
+        self.trees: list[tuple[BisectingTree, int]] = []
+        start = 0
+        for t in range(tables):
+            # Each tree has its own part of the sample, so that its planes differ.
+            tree = BisectingTree(drawn[t::tables] if len(drawn) >= tables * LEAST_FIT else drawn, cell_rows, seed + t, reach, rows=rows)
+            self.trees.append((tree, start))
+            start += len(tree.nodes)
+            if len(tree.nodes) == 1:  # one cell has all vectors
+                break
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(start, tree(x)) for tree, start in self.trees]
+        return np.concatenate([leaf + start for start, (leaf, _) in found]), np.concatenate([row for _, (_, row) in found])
 
 
 def _linked(x: np.ndarray, exact: np.ndarray, least: float) -> np.ndarray:
@@ -161,38 +194,67 @@ def _leaf_labels(x: np.ndarray, exact: np.ndarray, least: float) -> np.ndarray:
 
 
 def _between(x: np.ndarray, exact: np.ndarray, root: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
-    """A link (row, row) for each two components of a cell that have one but that planes have divided.
+    """Links (row, row) that join the components of a cell as far as any two vectors of it are linked.
 
-    Single rows are compared exactly, as they are their own centres; of larger components only those with near centres.
+    Rows that are alone are compared with each other; a larger component is compared with the rows that, by its centre
+    and radius, may be within the limit angle of one of its members.
     """
-    if not len(x):
+    n = len(x)
+    if n < 2:
         return
+    size_of = np.bincount(root, minlength=n)
+    alone = np.flatnonzero(size_of[root] == 1)
+
+    def links(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, int]]:
+        """For each row of q with a link to p, one such link."""
+        for k in range(0, len(q), 4096):
+            t = x[q[k : k + 4096]] @ x[p].T
+            top = t.argmax(1)
+            best = t[np.arange(len(t)), top]
+            for i in np.flatnonzero(best >= least - SLACK):
+                if best[i] >= least + SLACK:
+                    yield int(q[k + i]), int(p[top[i]])
+                else:
+                    near = np.flatnonzero(t[i] >= least - SLACK)
+                    ok = near[np.round(exact[p[near]] @ exact[q[k + i]], 6) >= least]
+                    if len(ok):
+                        yield int(q[k + i]), int(p[ok[0]])
+
+    y = x[alone]
+    for i in range(0, len(y), 1024):
+        s = y[i : i + 1024] @ y[i:].T
+        r, c = np.nonzero(s >= least - SLACK)
+        r, c = r[c > r] + i, c[c > r] + i
+        a, b = alone[r], alone[c]
+        ok = (s[r - i, c - i] >= least + SLACK) | (np.round(np.einsum("ij,ij->i", exact[a], exact[b]), 6) >= least) if len(r) else r
+        yield from zip(a[ok].tolist(), b[ok].tolist())
+
     order = np.argsort(root, kind="stable")
     first = np.flatnonzero(np.diff(root[order], prepend=-1))
-    size = np.diff(np.append(first, len(root)))
+    size = np.diff(np.append(first, n))
+    many = np.flatnonzero(size > 1)
+    if not len(many):
+        return
+    number = np.empty(n, np.int64)
+    number[order] = np.repeat(np.arange(len(size)), size)
     centre = np.add.reduceat(x[order], first, axis=0)
     centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    single = size == 1
-    for i in range(0, len(centre), 1024):
-        s = centre[i : i + 1024] @ centre[i:].T
-        r, c = np.nonzero(s >= NEAR)
-        keep = (c > r) & ((s[r, c] >= least - SLACK) | ~single[i + r] | ~single[i + c])
-        for a, b in zip((i + r[keep]).tolist(), (i + c[keep]).tolist()):
-            p, q = order[first[a] : first[a] + size[a]], order[first[b] : first[b] + size[b]]
-            for k in range(0, len(p), 1024):
-                t = x[p[k : k + 1024]] @ x[q].T
-                u, v = np.unravel_index(t.argmax(), t.shape)
-                if t[u, v] >= least + SLACK:
-                    yield int(p[k + u]), int(q[v])
-                    break
-                u, v = np.nonzero(t >= least - SLACK)
-                ok = np.flatnonzero(np.round(np.einsum("ij,ij->i", exact[p[k + u]], exact[q[v]]), 6) >= least)
-                if len(ok):
-                    yield int(p[k + u[ok[0]]]), int(q[v[ok[0]]])
-                    break
-
-
-def cell_components(vectors: np.ndarray, ids: list[np.ndarray], least: float, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    inner = np.minimum.reduceat(np.einsum("ij,ij->i", x[order], centre[number[order]]), first)
+    reach = np.minimum(np.arccos(np.clip(inner, -1, 1)) + float(np.arccos(np.clip(least - 1e-6, -1, 1))) + 2e-3, np.pi)
+    for i in range(0, len(many), 512):
+        block = many[i : i + 512]
+        s = centre[block] @ x.T
+        r, c = np.nonzero(s >= np.cos(reach[block]).astype(np.float32)[:, None])
+        # Of two larger components, the first looks for the second.
+        keep = (number[c] > block[r]) | (size[number[c]] == 1)
+        r, c = r[keep], c[keep]
+        starts = np.searchsorted(r, np.arange(len(block) + 1))
+        for k, a in enumerate(block.tolist()):
+            if starts[k] < starts[k + 1]:
+                yield from links(order[first[a] : first[a] + size[a]], c[starts[k] : starts[k + 1]])
+
+
+def cell_components(vectors: np.ndarray, ids: list[np.ndarray], least: float, seed: int = 2, most: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(entry, root): each entry of the cell that has a link in it, and the smallest entry of its local component."""
     exact = unit(vectors)
     x = exact.astype(np.float32)
@@ -205,9 +267,9 @@ def cell_components(vectors: np.ndarray, ids: list[np.ndarray], least: float, se
         return i
 
     compact = float(np.sqrt((1 + least) / 2)) + 1e-4
-    tree = BisectingTree(x, LEAF_ROWS, seed, LEAF_REACH, compact)
+    tree = BisectingTree(x, most, seed, LEAF_REACH, compact)
     linked = np.fromiter(map(len, ids), np.int64, len(ids)) > 1
-    for leaf, at in tree(x):
+    for _, at in grouped(*tree(x)):
         if len(at) < 2:
             continue
         y = x[at]
@@ -236,18 +298,19 @@ def cell_components(vectors: np.ndarray, ids: list[np.ndarray], least: float, se
     return entry, np.repeat(entry[first], np.diff(np.append(first, len(group))))
 
 
-def clusters(df: DataFrame, least: float = 0.9, cell_rows: int = CELL_ROWS, seed: int = 1) -> DataFrame:
+def clusters(df: DataFrame, least: float = 0.9, cell_rows: int = CELL_ROWS, seed: int = 1, tables: int = TABLES, exact: bool = False) -> DataFrame:
     """(entry_id, cluster_id): each entry in a cluster of two or more, and the smallest entry of the cluster.
 
     df: entry_id and pools. Only vectors of 64 finite numbers, not all zero, count; repeated rows of an entry are one
     entry; null ids are no entries. Two entries are linked if the cosine of their vectors, rounded to 6 decimals, is
-    at least `least`; clusters are the connected components. Every link that is used is exact. A link is missed if
-    planes divide the two vectors by more than twice the reach and no other entries join them (README.md has measured
-    figures). An empty table gives no rows.
+    at least `least`; clusters are the connected components. Every link that is used is exact, and no link within a
+    cell is missed. A link is missed if in each upper tree a plane divides the two vectors by more than twice the reach
+    and no other entries join them (README.md has measured figures). With `exact` all pairs are compared instead, in
+    blocks, at a cost that grows with the square of the rows. An empty table gives no rows.
     """
     source = entries(df)
     drawn, rows = sample(source)
-    tree = BisectingTree(drawn, max(64, int(cell_rows * len(drawn) / max(rows, 1))), seed, REACH)
+    cells = Blocks(rows, cell_rows) if exact else Trees(drawn, rows, cell_rows, tables, seed, REACH)
 
     def cell(table: pa.Table) -> pa.Table:
         vectors, ids, follow = classes(table)
@@ -256,7 +319,7 @@ def clusters(df: DataFrame, least: float = 0.9, cell_rows: int = CELL_ROWS, seed
         first = np.concatenate([np.full(len(f) - 1, f[0]) for f in follow]) if follow else np.empty(0, np.int64)
         return pa.table([pa.array(np.concatenate((entry, after))), pa.array(np.concatenate((root, first))), pa.array(np.arange(len(entry) + len(after)) >= len(entry))], ["entry", "root", "follows"])
 
-    found = checkpoint(spread(route(source, tree)).groupBy("cell").applyInArrow(cell, "entry bigint, root bigint, follows boolean").distinct())
+    found = checkpoint(spread(route(source, cells, 2)).groupBy("cell").applyInArrow(cell, "entry bigint, root bigint, follows boolean").distinct())
     least_root = found.filter("not follows").groupBy("entry").agg(F.min("root").alias("root"), F.max("root").alias("most"), F.collect_set("root").alias("roots"))
     least_root = checkpoint(least_root)
     edges = least_root.filter("root <> most").select(F.col("root").alias("v"), F.explode("roots").alias("u"))
@@ -267,6 +330,39 @@ def clusters(df: DataFrame, least: float = 0.9, cell_rows: int = CELL_ROWS, seed
     return named.unionByName(after.select(F.col("copy").alias("entry_id"), "cluster_id")).groupBy("entry_id").agg(F.min("cluster_id").alias("cluster_id"))
 
 
+def leaves(df: DataFrame, compact: float = 0.9, most: int = LEAF_ROWS, cell_rows: int = CELL_ROWS, seed: int = 1) -> DataFrame:
+    """(entry_id, cluster_id): the leaf of the bisecting tree that each usable entry lies in, named by the leaf's smallest entry.
+
+    As `clusters`, but without the check of links: a leaf is split until all its entries are within `compact` (a cosine)
+    of its centre, or it has one distinct vector. Each entry lies in one leaf; of an entry with several different
+    vectors the least counts. `describe` gives sizes and centre-nearest members.
+    """
+    drawn, rows = sample(entries(df))
+    tree = BisectingTree(drawn, cell_rows, seed, 0.0, rows=rows)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, row = tree(unit(unpack(batch.column("vec").to_pylist())).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[np.argsort(row)].astype(np.int32)), *batch.columns], ["cell", *batch.schema.names])
+
+    def divide(table: pa.Table) -> pa.Table:
+        entry, packed = table.column("entry_id").to_numpy(), table.column("vec").to_pylist()
+        index: dict[bytes, int] = {}
+        of = np.array([index.setdefault(p, len(index)) for p in packed])
+        x = unit(unpack(list(index))).astype(np.float32)
+        leaf, row = BisectingTree(x, 1, seed, 0.0, compact)(x)
+        label = np.empty(len(x), np.int64)
+        label[row] = leaf
+        label = label[of]
+        order = np.lexsort((entry, label))
+        entry, label = entry[order], label[order]
+        first = np.flatnonzero(np.diff(label, prepend=-1))
+        return pa.table([pa.array(entry), pa.array(np.repeat(entry[first], np.diff(np.append(first, len(label)))))], ["entry_id", "cluster_id"])
+
+    return _vectors(df).mapInArrow(homes, "cell int, entry_id bigint, vec binary").groupBy("cell").applyInArrow(divide, "entry_id bigint, cluster_id bigint")
+
+
 def _vectors(df: DataFrame) -> DataFrame:
     """(entry_id, vec): one packed vector for each entry with a usable one; of several different ones the least."""
 

@@ -3,27 +3,31 @@
 A compound p-stable hash: each level projects a vector on a random direction of normal numbers (2-stable, so that
 distances of projections follow Euclidean distances) and cuts the line into buckets of a width taken from the spread
 of the node. A vector visits its own bucket and perturbed ones, in the order of their estimated success: the squared
-distances to the boundaries that are crossed add up along the levels, and all bucket sequences up to a limit are
-visited. Both the stored vectors and the queries do so, which doubles the margin.
+distances to the boundaries that are crossed add up along the levels, and the bucket sequences with the least sums are
+visited, up to a limit and at most PROBES of them. Both the stored vectors and the queries do so, which doubles the
+margin.
 
-One coarse table spreads the vectors over cells; within a cell, TABLES finer tables give candidates, which are merged
-and ranked by exact cosines in double precision. Rows with very many others within the limit are compared with their
-whole cell, and large dense groups in cells of their own.
+Several coarse tables spread the vectors over cells; within a cell, a finer table gives candidates. The candidates of
+all tables are merged and ranked by exact cosines in double precision. Rows with very many others within the limit are
+compared with their whole cell, and large dense groups in cells of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import WIDTH, classes, entries, route, sample, spread, unit
+from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, route, sample, spread, unit
 
-#: Rows of a cell and of a leaf, width of a bucket in standard deviations, reach of probes at unit distance.
-CELL_ROWS, LEAF_ROWS, BUCKET, REACH, TABLES = 16_000, 1_200, 2.25, 0.25, 2
+#: Rows of a cell and of a leaf, width of a bucket in standard deviations, coarse tables.
+CELL_ROWS, LEAF_ROWS, BUCKET, TABLES = 16_000, 1_200, 2.25, 2
+#: Reach of probes at unit distance, of coarse tables and within cells, and most buckets that a vector visits.
+REACH, LEAF_REACH, PROBES = 0.13, 0.25, 24
 #: Bounds the error of single-precision products of unit vectors.
 SLACK = 3e-6
 #: Dense groups: least cosine of crowding, of members to the centre (the limit angle), of all that may be near members (twice that angle); the share of the sample and how many of it are counted.
@@ -32,86 +36,119 @@ SCALE = 1_000_000
 
 
 class StableTree:
-    """Buckets of a compound p-stable hash, refined where many vectors of X lie."""
-
-    def __init__(self, x: np.ndarray, most: int, seed: int, reach: float = REACH):
-        self.reach2 = reach * reach
-        self.leaves = 0
-        self.members: dict[int, np.ndarray] = {}
-        self.root = self._grow(x, np.arange(len(x)), most, np.random.default_rng(seed), 0)
-
-    def _grow(self, x: np.ndarray, rows: np.ndarray, most: int, rng: np.random.Generator, depth: int):
-        spread_, a = 0.0, None
-        if len(rows) > most and depth < 60:
-            a = rng.standard_normal(x.shape[1]).astype(np.float32)
-            p = x[rows] @ a
-            spread_ = float(p.std())
-        if spread_ < 1e-6:
+    """Buckets of a compound p-stable hash, refined until each has at most `most` of the `rows` that x is a sample of."""
+
+    def __init__(self, x: np.ndarray, most: int, seed: int, reach: float, rows: int | None = None, probes: int = PROBES):
+        self.reach2, self.probes, self.leaves, self.most = reach * reach, probes, 0, most
+        mean = x.mean(0) if len(x) else np.zeros(WIDTH, np.float32)
+        self.root = self._grow(x, np.arange(len(x)), float(len(x) if rows is None else rows), mean, 0.0, np.random.default_rng(seed), 0)
+
+    def _grow(self, x: np.ndarray, at: np.ndarray, rows: float, mean: np.ndarray, above: float, rng: np.random.Generator, depth: int):
+        """rows: the estimated number; mean, above: centre and spread of the node above, where the sample is used up."""
+        wide, a = 0.0, None
+        fits = len(at) >= LEAST_FIT
+        if rows > self.most and depth < 60:
+            a = rng.standard_normal(len(mean)).astype(np.float32)
+            p = x[at] @ a
+            wide = float(p.std()) if fits else above
+        if wide < 1e-6:
             self.leaves += 1
             return self.leaves - 1
-        width = BUCKET * spread_
-        offset = float(p.mean()) - width * rng.random()
+        if len(at) >= 8:
+            mean = x[at].mean(0)
+        middle, width = float(mean @ a), BUCKET * wide
+        offset = middle - width * rng.random()
         bucket = np.clip(np.floor((p - offset) / width), -3, 3).astype(np.int64)
-        low, high = int(bucket.min()), int(bucket.max())
+        if fits:
+            low, high = int(bucket.min()), int(bucket.max())
+            part = [float((bucket == k).mean()) for k in range(low, high + 1)]
+        else:  # the buckets of a normal distribution
+            edges = [_normal((offset + width * k - middle) / wide) for k in range(-2, 4)]
+            part = np.diff([0.0, *edges, 1.0])
+            some = np.flatnonzero(part > 0.01)
+            low, high = int(some[0]) - 3, int(some[-1]) - 3
+            part = part[some[0] : some[-1] + 1] / part[some[0] : some[-1] + 1].sum()
+            bucket = np.clip(bucket, low, high)
         if low == high:  # one more projection with another offset
-            return self._grow(x, rows, most, rng, depth + 1)
-        kids = [self._grow(x, rows[bucket == k], most, rng, depth + 1) for k in range(low, high + 1)]
+            return self._grow(x, at, rows, mean, wide, rng, depth + 1)
+        kids = [self._grow(x, at[bucket == k], rows * share, mean, wide, rng, depth + 1) for k, share in zip(range(low, high + 1), part)]
         return (a, offset, width, low, kids)
 
-    def __call__(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows of x that visit it), a leaf at most once."""
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, row) of every visit: of each row of x the leaves in the order of their estimated success, none twice."""
         stack = [(self.root, np.arange(len(x)), np.zeros(len(x), np.float32))]
+        leaf, row, score = [], [], []
         while stack:
-            node, rows, score = stack.pop()
-            if not len(rows):
+            node, at, far = stack.pop()
+            if not len(at):
                 continue
             if isinstance(node, int):
-                yield node, rows
+                leaf.append(np.full(len(at), node))
+                row.append(at)
+                score.append(far)
                 continue
             a, offset, width, low, kids = node
-            p = (x[rows] @ a - offset) / width
+            p = (x[at] @ a - offset) / width
             last = low + len(kids) - 1
             for k, kid in enumerate(kids, low):
                 # how far beyond the bucket the vector lies; the outer buckets have no outer boundary
                 beyond = np.maximum(0 if k == low else k - p, 0 if k == last else p - (k + 1))
                 beyond = np.maximum(beyond, 0)
                 near = beyond * min(width, 2.0 * BUCKET)
-                total = score + near * near
+                total = far + near * near
                 # no farther than an eighth of a bucket in narrow nodes, which would else visit everything
                 visit = (beyond == 0) | ((total <= self.reach2) & (beyond <= 0.125))
-                stack.append((kid, rows[visit], total[visit]))
+                stack.append((kid, at[visit], total[visit]))
+        if not leaf:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        leaf, row, score = np.concatenate(leaf), np.concatenate(row), np.concatenate(score)
+        order = np.lexsort((score, row))
+        leaf, row = leaf[order], row[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        return leaf[nth < self.probes], row[nth < self.probes]
 
 
-class DenseCells:
-    """The cells of a tree, and for each dense group of the sample further cells in which all its pairs meet.
+def _normal(z: float) -> float:
+    return 0.5 * (1 + erf(z / sqrt(2)))
+
+
+class Tables:
+    """The cells of several tables, and for each dense group of the sample further cells in which all its pairs meet.
 
     Planes can't tell the nearest in a group of different vectors that all lie near each other. So the vectors
     within the limit angle of a group's centre, and all that may be near those, are dealt into blocks, and each two
     blocks are a cell that is compared exactly. Its cost grows with the square of the group.
     """
 
-    def __init__(self, tree: StableTree, drawn: np.ndarray, rows: int, cell_rows: int):
-        self.tree, self.first = tree, tree.leaves
-        self.groups: list[tuple[np.ndarray, int, int]] = []
-        start = tree.leaves
-        for c in dense_centres(drawn) if tree.leaves > 1 else ():
+    def __init__(self, drawn: np.ndarray, rows: int, cell_rows: int, tables: int, seed: int, reach: float, probes: int):
+        self.trees: list[tuple[StableTree, int]] = []
+        start = 0
+        for t in range(tables):
+            tree = StableTree(drawn, cell_rows, seed + t, reach, rows, probes)
+            self.trees.append((tree, start))
+            start += tree.leaves
+            if tree.leaves == 1:  # one cell has all vectors
+                break
+        self.first = start
+        self.groups: list[tuple[np.ndarray, Blocks]] = []
+        for c in dense_centres(drawn) if len(self.trees) > 1 else ():
             many = float((drawn @ c >= OUTER).mean()) * rows
-            blocks = 1 if many <= cell_rows else int(np.ceil(2 * many / cell_rows))
-            self.groups.append((c, blocks, start))
-            start += blocks * blocks
-
-    def __call__(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        yield from self.tree(x)
-        for c, blocks, start in self.groups:
-            at = np.flatnonzero(x @ c >= OUTER)
-            bits = np.ascontiguousarray(x[at]).view(np.uint32).astype(np.uint64)
-            block = ((bits * np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64)).sum(1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
-            mine = [at[block == i] for i in range(blocks)]
-            if blocks == 1:
-                yield start, at
-            for i in range(blocks):
-                for j in range(i + 1, blocks):
-                    yield start + i * blocks + j, np.concatenate((mine[i], mine[j]))
+            self.groups.append((c, Blocks(int(many), cell_rows, start)))
+            start = self.groups[-1][1].end
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell, row = [], []
+        for tree, start in self.trees:
+            leaf, at = tree(x)
+            cell.append(leaf + start)
+            row.append(at)
+        for c, blocks in self.groups:
+            near = np.flatnonzero(x @ c >= OUTER)
+            leaf, at = blocks(x[near])
+            cell.append(leaf)
+            row.append(near[at])
+        return np.concatenate(cell), np.concatenate(row)
 
 
 def dense_centres(drawn: np.ndarray) -> list[np.ndarray]:
@@ -155,7 +192,7 @@ def _crowded(x: np.ndarray, least: float) -> np.ndarray:
     return np.flatnonzero(np.concatenate([(x[i : i + 4096] @ y.T >= least).sum(1) >= most for i in range(0, len(x), 4096)]))
 
 
-def _candidates(x: np.ndarray, k: int, least: float, seed: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(x: np.ndarray, k: int, least: float, seed: int, exact: bool, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, other) of distinct pairs that may be among a row's k best; all that tie with the last are in it."""
     n = len(x)
     every = np.arange(n)
@@ -163,8 +200,8 @@ def _candidates(x: np.ndarray, k: int, least: float, seed: int, exact: bool = Fa
     if n <= LEAF_ROWS or exact:
         found += _compare(x, every, every, every, k, least)
     else:
-        for t in range(TABLES):
-            for _, at in StableTree(x, LEAF_ROWS, seed + t)(x):
+        for t in range(tables):
+            for _, at in grouped(*StableTree(x, LEAF_ROWS, seed + t, LEAF_REACH)(x)):
                 found += _compare(x, at, at, np.arange(len(at)), k, least)
         crowded = _crowded(x, least)
         found += _compare(x, crowded, every, crowded, k, least)
@@ -181,10 +218,10 @@ def _expand(groups: list[np.ndarray], sizes: np.ndarray, starts: np.ndarray, fla
     return pos, flat[np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
 
 
-def best_of_cell(vectors: np.ndarray, ids: list[np.ndarray], k: int, least: float, seed: int = 3, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_cell(vectors: np.ndarray, ids: list[np.ndarray], k: int, least: float, seed: int = 3, exact: bool = False, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, loss, b): of each entry a of the cell its k best b, loss = 1,000,000 * (1 - cosine rounded to 6 decimals)."""
     x = unit(vectors)
-    row, other = _candidates(x.astype(np.float32), k, least, seed, exact)
+    row, other = _candidates(x.astype(np.float32), k, least, seed, exact, tables)
     cosine = np.empty(len(row))
     for i in range(0, len(row), 100_000):
         cosine[i : i + 100_000] = np.einsum("ij,ij->i", x[row[i : i + 100_000]], x[other[i : i + 100_000]])
@@ -208,7 +245,7 @@ def best_of_cell(vectors: np.ndarray, ids: list[np.ndarray], k: int, least: floa
     return a[nth < k], loss[nth < k], b[nth < k]
 
 
-def most_similar(df: DataFrame, k: int = 5, least: float = 0.9, cell_rows: int = CELL_ROWS, reach: float = REACH, seed: int = 1) -> DataFrame:
+def most_similar(df: DataFrame, k: int = 5, least: float = 0.9, cell_rows: int = CELL_ROWS, reach: float = REACH, seed: int = 1, tables: int = TABLES, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """(entry_id, best ARRAY<STRUCT<loss INT, b BIGINT>>, followers ARRAY<BIGINT>): the k most similar entries of each.
 
     df: entry_id and pools. Only vectors of 64 finite numbers, not all zero, count; repeated rows of an entry are one
@@ -216,16 +253,19 @@ def most_similar(df: DataFrame, k: int = 5, least: float = 0.9, cell_rows: int =
     at least `least`; of equal ones the smaller id comes first. Entries without any have no row. followers are
     entries with the very same vector as entry_id, in large groups of copies; their best are those of entry_id and
     entry_id itself, see `pairs`. The search may miss a few neighbours (README.md gives measured shares); what is
-    found is exact. Dense groups of at least SHARE of the rows are compared exactly (for limits of INNER and more). The trees are fitted on a sample of SAMPLE vectors; every vector is stored and searched.
+    found is exact. Dense groups of at least SHARE of the rows are compared exactly (for limits of INNER and more). The
+    trees are fitted on a sample of SAMPLE vectors; every vector is stored and searched. With `exact` all pairs of
+    vectors are compared instead, in blocks, at a cost that grows with the square of the rows.
     """
     source = entries(df)
     drawn, rows = sample(source)
-    tree = StableTree(drawn, max(64, int(cell_rows * len(drawn) / max(rows, 1))), seed, reach)
-    cells = DenseCells(tree, drawn, rows, cell_rows)
+    cells = Blocks(rows, cell_rows) if exact else Tables(drawn, rows, cell_rows, tables, seed, reach, probes)
+    first_exact, inner = (0, 1) if exact else (cells.first, 1 if len(cells.trees) > 1 else TABLES)
 
     def cell(table: pa.Table) -> pa.Table:
         vectors, ids, follow = classes(table)
-        a, loss, b = best_of_cell(vectors, ids, k, least, exact=table.column("cell")[0].as_py() >= cells.first) if len(ids) else (np.empty(0, np.int64),) * 3
+        number = table.column("cell")[0].as_py()
+        a, loss, b = best_of_cell(vectors, ids, k, least, abs(number), number >= first_exact, inner) if len(ids) else (np.empty(0, np.int64),) * 3
         who, begin = np.unique(a, return_index=True)
         offsets = pa.array(np.append(begin, len(a)).astype(np.int32))
         best = [pa.ListArray.from_arrays(offsets, pa.array(loss.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(b))]
@@ -235,7 +275,7 @@ def most_similar(df: DataFrame, k: int = 5, least: float = 0.9, cell_rows: int =
         second = pa.table([pa.array([int(f[0]) for f in follow], kinds[0]), pa.array([[]] * len(follow), kinds[1]), pa.array([[]] * len(follow), kinds[2]), pa.array([f[1:].tolist() for f in follow], kinds[3])], names)
         return pa.concat_tables([first, second.cast(first.schema)])
 
-    found = spread(route(source, cells)).groupBy("cell").applyInArrow(cell, "a bigint, losses array<int>, bs array<bigint>, followers array<bigint>")
+    found = spread(route(source, cells, k + 1)).groupBy("cell").applyInArrow(cell, "a bigint, losses array<int>, bs array<bigint>, followers array<bigint>")
     # A row for each cell that an entry visits, so the lists of a group are few and short.
     merged = found.groupBy("a").agg(F.collect_list(F.arrays_zip("losses", "bs")).alias("lists"), F.flatten(F.collect_list("followers")).alias("followers"))
     best = F.slice(F.array_sort(F.array_distinct(F.flatten("lists"))), 1, k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, table
 from .bpe import count_tokens, encode_texts
-from .clusters import clusters, describe
+from .clusters import clusters, describe, leaves
 from .cutoff import cutoffs
 from .groupsplit import groups, splits
 from .mixing import language, mix
@@ -72,6 +72,12 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(entries, checkpoint(clusters(entries)))
 
 
+def p4_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaf of the bisecting tree with its size, its compactness and its most typical entries."""
+    entries = table(spark, sf_dir, "pooled_json")
+    return describe(entries, checkpoint(leaves(entries)))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(most_similar(table(spark, sf_dir, "pooled_json")))
 
@@ -109,4 +115,4 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_leaves": p4_leaves, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}

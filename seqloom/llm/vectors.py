@@ -1,9 +1,10 @@
 """Vectors of exported entries: reading, lossless packing, a bounded sample, and routing to overlapping cells.
 
-Neighbours and clusters are both found in two levels. A tree that is fitted on a bounded sample sends every vector to
-its cell, and to the cells next to it when it lies near a boundary; a cell has a bounded number of rows, whatever the
-size of the table, as long as the sample tells it. Within a cell a second tree of the same kind, fitted on all its
-rows, makes leaves in which vectors are compared with each other.
+Neighbours and clusters are both found in two levels. Trees that are fitted on a bounded sample send every vector to
+its cells, and to cells next to them when it lies near a boundary. A node is divided until its estimated rows fit into a
+cell, however large the table; where too few rows of the sample are left to fit a division, it is laid by the shape of
+the node above. Within a cell a tree of the same kind, fitted on all its rows, makes leaves in which vectors are
+compared with each other.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 WIDTH = 64
 #: Vectors of the sample that the routing trees are fitted on.
 SAMPLE = 50_000
-#: Of the entries of an Arrow batch with the very same vector, so many go on with it; the others follow the first.
-COPIES = 6
+#: Rows of the sample that a division of a node is fitted on at least.
+LEAST_FIT = 48
 
-Route = Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]]
+#: Of n vectors, the (cell, row) of every visit.
+Route = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def entries(df: DataFrame, pool: str = "backbone", kind: str = "span_attn_norm", width: int = WIDTH) -> DataFrame:
@@ -74,11 +76,39 @@ def sample(df: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, int]:
     return unit(v[usable(v)]).astype(np.float32), rows
 
 
-def route(df: DataFrame, cells: Route) -> DataFrame:
+class Blocks:
+    """All pairs: vectors are dealt into blocks by their bits, and each two blocks are a cell."""
+
+    def __init__(self, rows: int, cell_rows: int, start: int = 0):
+        self.blocks = 1 if rows <= cell_rows else int(np.ceil(2 * rows / cell_rows))
+        self.start, self.end = start, start + self.blocks * self.blocks
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.blocks == 1:
+            return np.full(len(x), self.start), np.arange(len(x))
+        bits = np.ascontiguousarray(x).view(np.uint32).astype(np.uint64)
+        block = (((bits * np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64)).sum(1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.blocks)).astype(np.int64)[:, None]
+        other = np.arange(self.blocks)[None, :]
+        cell = self.start + np.minimum(block, other) * self.blocks + np.maximum(block, other)
+        row, at = np.nonzero(block != other)
+        return cell[row, at], row
+
+
+def grouped(cell: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(cell, its rows) of visits."""
+    order = np.argsort(cell, kind="stable")
+    cell, row = cell[order], row[order]
+    cuts = np.flatnonzero(np.diff(cell)) + 1
+    for at in np.split(np.arange(len(cell)), cuts) if len(cell) else ():
+        yield int(cell[at[0]]), row[at]
+
+
+def route(df: DataFrame, cells: Route, copies: int) -> DataFrame:
     """(cell, ids, vec): each vector once a cell that it visits, the ids of a batch's entries with this vector together.
 
-    Rows with an empty vec hold entries that follow their first id: more copies than COPIES of one vector. So a
-    group of copies sends one vector a batch, and its ids travel in groups of at most a batch.
+    Of the entries of a batch with one vector, `copies` go on with it (at least k + 1 where k neighbours are looked
+    for). Rows with an empty vec hold the others, which follow their first id. So a group of copies sends one vector a
+    batch, and its ids travel in groups of at most a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +130,14 @@ def route(df: DataFrame, cells: Route) -> DataFrame:
                 order = np.lexsort((ids, of))
                 for part in np.split(ids[order], np.flatnonzero(np.diff(of[order])) + 1):
                     own = np.unique(part).astype(np.int64)
-                    names.append(own[:COPIES].tobytes())
-                    if len(own) > COPIES:
-                        extra.append(np.concatenate((own[:1], own[COPIES:])).tobytes())
+                    names.append(own[:copies].tobytes())
+                    if len(own) > copies:
+                        extra.append(np.concatenate((own[:1], own[copies:])).tobytes())
             vec = [packed[i] for i in first]
-            cell, row = [], []
-            for c, at in cells(unit(v[first]).astype(np.float32)):
-                cell.append(np.full(len(at), c, np.int32))
-                row.append(at)
-            where = np.concatenate(row)
+            cell, where = cells(unit(v[first]).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate((*cell, np.full(len(extra), -1, np.int32)))),
+                    pa.array(np.concatenate((cell.astype(np.int32), np.full(len(extra), -1, np.int32)))),
                     pa.array([*(names[i] for i in where), *extra], pa.binary()),
                     pa.array([*(vec[i] for i in where), *[b""] * len(extra)], pa.binary()),
                 ],

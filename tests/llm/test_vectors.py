@@ -151,3 +151,68 @@ def test_description_of_large_clusters(spark):
     whole = sorted(map(repr, C.describe(df, found).collect()))
     assert whole == sorted(map(repr, C.describe(df.repartition(5), found, most=20).collect()))
     assert C.describe(df, found.filter("entry_id < 0")).collect() == []
+
+
+def test_exact_and_larger_k(spark):
+    """All pairs in blocks, and more neighbours than copies of a vector that a batch sends."""
+    vectors, rows = make(1, 500)
+    twin = np.random.default_rng(9).normal(size=64).astype(np.float32)
+    for k in range(20):
+        vectors[30_000 + k] = twin
+        rows.append((30_000 + k, {"backbone": {"span_attn_norm": twin.tolist()}}, "x", 1, 2, 3))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    want = true_pairs(vectors, 10)
+    assert {(r.entry_a, r.entry_b) for r in N.pairs(N.most_similar(df, k=10), 10).collect()} == want
+    assert {(r.entry_a, r.entry_b) for r in N.pairs(N.most_similar(df, k=10, cell_rows=150, exact=True), 10).collect()} == want
+    assert {(r.entry_id, r.cluster_id) for r in C.clusters(df, cell_rows=150, exact=True).collect()} == true_clusters(vectors)
+
+
+def test_cells_stay_bounded_beyond_the_sample():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for cells in (N.StableTree(x[:500], 400, 1, 0.0, len(x)), C.BisectingTree(x[:500], 400, 1, 0.0, rows=len(x))):
+        cell, row = cells(x)
+        assert len(row) == len(x)
+        size = np.bincount(cell)
+        assert size.max() <= 5 * 400 and len(x) / (size > 0).sum() <= 400
+
+
+def test_visits_in_order_of_success():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5_000, 64)).astype(np.float32)
+    wide, one = N.StableTree(x, 200, 1, 1.0), N.StableTree(x, 200, 1, 0.0)
+    leaf, row = wide(x)
+    assert np.bincount(row).max() <= N.PROBES < len(leaf) / 100
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    home_leaf, home_row = one(x)
+    assert (leaf[first] == home_leaf).all() and (row[first] == home_row).all()
+
+
+def test_no_link_of_a_cell_is_missed():
+    """A long chain whose ends are far apart, among single vectors."""
+    rng = np.random.default_rng(7)
+    a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    chain = np.array([np.cos(t) * a + np.sin(t) * b for t in np.arange(0, 3, 0.449)])
+    x = np.concatenate((chain, rng.normal(size=(3000, 64)))).astype(np.float32)
+    order = rng.permutation(len(x))
+    ids = [np.array([i]) for i in range(len(x))]
+    entry, root = C.cell_components(x[order], ids, 0.9, most=20)
+    at = {int(o): i for i, o in enumerate(order)}
+    want = {at[i] for i in range(len(chain))}
+    assert {int(e) for e, r in zip(entry, root) if r == min(want)} == want
+
+
+def test_leaves(spark):
+    vectors, rows = make(1)
+    got = C.leaves(spark.createDataFrame(rows, SCHEMA).repartition(3), cell_rows=300).collect()
+    assert sorted(r.entry_id for r in got) == sorted(vectors)
+    members = {}
+    for r in got:
+        members.setdefault(r.cluster_id, []).append(r.entry_id)
+    for name, m in members.items():
+        x = np.array([vectors[i] for i in m], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        centre = x.mean(0)
+        assert name == min(m) and (x @ centre / np.linalg.norm(centre)).min() >= 0.9 - 1e-5
+    assert C.leaves(spark.createDataFrame([], SCHEMA)).collect() == []
