@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .common import small
 from .components import components
-from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, matrix, pack, route, sample, spread, unit, unpack, usable
+from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, matrix, pack, places, route, sample, spread, unit, unpack, usable
 
 #: Rows of a cell and of a leaf; how near to a dividing plane a vector goes to both sides, in cells and in leaves; upper trees.
 CELL_ROWS, LEAF_ROWS, REACH, LEAF_REACH, TABLES = 8_000, 1_000, 0.025, 0.04, 2
@@ -147,7 +147,7 @@ def _linked(x: np.ndarray, exact: np.ndarray, least: float) -> np.ndarray:
     s = x @ x.T
     np.fill_diagonal(s, -1)
     mask = s >= least + SLACK
-    r, c = np.nonzero((s >= least - SLACK) & ~mask)
+    r, c = places((s >= least - SLACK) & ~mask)
     if len(r):
         mask[r, c] = np.round(np.einsum("ij,ij->i", exact[r], exact[c]), 6) >= least
     return mask
@@ -223,7 +223,7 @@ def _between(x: np.ndarray, exact: np.ndarray, root: np.ndarray, least: float) -
     y = x[alone]
     for i in range(0, len(y), 1024):
         s = y[i : i + 1024] @ y[i:].T
-        r, c = np.nonzero(s >= least - SLACK)
+        r, c = places(s >= least - SLACK)
         r, c = r[c > r] + i, c[c > r] + i
         a, b = alone[r], alone[c]
         ok = (s[r - i, c - i] >= least + SLACK) | (np.round(np.einsum("ij,ij->i", exact[a], exact[b]), 6) >= least) if len(r) else r
@@ -244,7 +244,7 @@ def _between(x: np.ndarray, exact: np.ndarray, root: np.ndarray, least: float) -
     for i in range(0, len(many), 512):
         block = many[i : i + 512]
         s = centre[block] @ x.T
-        r, c = np.nonzero(s >= np.cos(reach[block]).astype(np.float32)[:, None])
+        r, c = places(s >= np.cos(reach[block]).astype(np.float32)[:, None])
         # Of two larger components, the first looks for the second.
         keep = (number[c] > block[r]) | (size[number[c]] == 1)
         r, c = r[keep], c[keep]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, route, sample, spread, unit
+from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, places, route, sample, spread, unit
 
 #: Rows of a cell and of a leaf, width of a bucket in standard deviations, coarse tables.
 CELL_ROWS, LEAF_ROWS, BUCKET, TABLES = 16_000, 1_200, 2.25, 2
@@ -181,7 +181,7 @@ def _compare(x: np.ndarray, rows: np.ndarray, others: np.ndarray, own: np.ndarra
             best = s[many]
             cut = np.partition(best, best.shape[1] - k, axis=1)[:, -k]
             mask[many] &= best >= cut[:, None] - SLACK
-        r, o = np.nonzero(mask)
+        r, o = places(mask)
         yield rows[r + i], others[o]
 
 

@@ -94,6 +94,11 @@ class Blocks:
         return cell[row, at], row
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the true places; of a matrix with few of them several times as fast as np.nonzero."""
+    return np.divmod(np.flatnonzero(mask.ravel()), mask.shape[1])
+
+
 def grouped(cell: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(cell, its rows) of visits."""
     order = np.argsort(cell, kind="stable")
