@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, places, route, sample, spread, unit
 
 #: Rows of a cell and of a leaf, width of a bucket in standard deviations, coarse tables.
-CELL_ROWS, LEAF_ROWS, BUCKET, TABLES = 16_000, 1_200, 2.25, 2
+CELL_ROWS, LEAF_ROWS, BUCKET, TABLES = 8_000, 1_200, 2.25, 2
 #: Reach of probes at unit distance, of coarse tables and within cells, and most buckets that a vector visits.
-REACH, LEAF_REACH, PROBES = 0.13, 0.25, 24
+REACH, LEAF_REACH, PROBES = 0.12, 0.25, 24
 #: Bounds the error of single-precision products of unit vectors.
 SLACK = 3e-6
 #: Dense groups: least cosine of crowding, of members to the centre (the limit angle), of all that may be near members (twice that angle); the share of the sample and how many of it are counted.
