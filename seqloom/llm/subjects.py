@@ -19,7 +19,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,35 +71,34 @@ class _Words(dict):
 _WORDS_OF = _Words()
 
 
-def sentences(text: str | None) -> list[list[str]]:
+def _plain(text: str) -> str:
+    """In lower case, without tags and entities; tags of paragraphs and breaks are empty lines."""
+    if "<" in text:
+        text = _TAGS.sub(lambda m: "\n\n" if m[0].lower().startswith(_BREAKS) else " ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    return text.lower()
+
+
+def sentences(text: str | None, of: Mapping[str, Sequence] = _WORDS_OF) -> list[list]:
     """The words, in lower case, of each sentence; numbers and names of records (words with digits, `|` or `_`) are left out.
 
     A sentence ends at `.`, `!`, `?` or `…` before white space, at an empty line and at list marks. Tags count as
-    white space, those of paragraphs and breaks end a sentence. Sentences without words are left out.
+    white space, those of paragraphs and breaks end a sentence. Sentences without words are left out. of: what is put
+    for a token between blanks, its words.
     """
     if not text:
         return []
-    if "<" in text:
-        text = _TAGS.sub(lambda m: "\n\n" if m[0].lower().startswith(_BREAKS) else " ", text)
-    if "&" in text:
-        text = html.unescape(text)
-    words_of = _WORDS_OF.__getitem__
+    put = of.__getitem__
     out = []
-    for part in _ENDS.split(text.lower()):
+    for part in _ENDS.split(_plain(text)):
         if part:
-            words = [w for token in part.split() for w in words_of(token)]
+            words = [w for token in part.split() for w in put(token)]
             if words:
                 out.append(words)
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[list[list[str]]]]]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            part = batch.slice(i, 1000)
-            yield part, [sentences(x) for x in part.column(column).to_pylist()]
-
-
 def vocabulary(texts: DataFrame, least_share: float = LEAST_SHARE, least_docs: int = LEAST_DOCS) -> list[str]:
     """The terms that at least a share of all documents have, in order. So there are at most the words of a document / least_share of them."""
 
@@ -109,12 +108,13 @@ def vocabulary(texts: DataFrame, least_share: float = LEAST_SHARE, least_docs: i
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-        for _, docs in _texts(batches):
-            for doc in docs:
-                seen.update({w for s in doc for w in s})
-            if len(seen) > 500_000:
-                yield flush()
-                seen.clear()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if text:
+                    seen.update({w for token in set(_plain(text).split()) for w in _WORDS_OF[token]})
+                if len(seen) > 500_000:
+                    yield flush()
+                    seen.clear()
         if seen:
             yield flush()
 
@@ -124,28 +124,21 @@ def vocabulary(texts: DataFrame, least_share: float = LEAST_SHARE, least_docs: i
 
 
 class Columns(dict):
-    """The column of each word: one of its own for the terms, and one of RARE by its hash for all others."""
+    """The columns of the words of a token: one of its own for each term, and one of RARE by its hash for all other words."""
 
     def __init__(self, terms: list[str]):
-        super().__init__((t, i) for i, t in enumerate(terms))
-        self.own = len(terms)
+        super().__init__()
+        self.own = {t: i for i, t in enumerate(terms)}
 
-    def __missing__(self, word: str) -> int:
-        return self.own + xxhash.xxh64_intdigest(word) % RARE
+    def of(self, word: str) -> int:
+        at = self.own.get(word)
+        return len(self.own) + xxhash.xxh64_intdigest(word) % RARE if at is None else at
 
-
-def _encode(docs: list[list[list[str]]], columns: Columns) -> list[tuple[list[int], list[int]]]:
-    """(columns of the words, their sentences) of each document."""
-    out = []
-    column = columns.__getitem__
-    for doc in docs:
-        terms: list[int] = []
-        place: list[int] = []
-        for k, words in enumerate(doc):
-            terms += map(column, words)
-            place += [k] * len(words)
-        out.append((terms, place))
-    return out
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= 300_000:
+            self.clear()
+        self[token] = columns = tuple(map(self.of, _WORDS_OF[token]))
+        return columns
 
 
 def bag(doc: np.ndarray, term: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,12 +218,11 @@ class Model:
         b = self.topics[terms]
         theta, ratio = infer(counts, b, LAST_STEPS)
         # of each word the weight of each subject: proportions x b over the sum of all topics
-        once = np.divide(ratio, counts, out=np.zeros_like(ratio), where=counts > 0).ravel()[at]
-        column = at % len(terms)
+        each = np.divide(ratio, counts, out=ratio, where=counts > 0)
         weight = np.empty((len(at), len(self.subjects)), np.float32)
         for s in range(len(self.subjects)):
             own = np.flatnonzero(self.subject_of == s)
-            weight[:, s] = (theta[:, own] @ b[:, own].T).ravel()[doc * len(terms) + column] * once
+            weight[:, s] = ((theta[:, own] @ b[:, own].T) * each).ravel()[at]
         starts = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
         words = np.add.reduceat(weight, starts, axis=0)
         best = words.max(1, keepdims=True)
@@ -251,13 +243,22 @@ def fit(texts: DataFrame, examples: DataFrame, areas: DataFrame, passes: int = P
     passages = [r for r in examples.filter("subject is not null and text is not null").orderBy("example_id").limit(MOST_EXAMPLES).collect() if r.subject in number]
     read = [sentences(p.text) for p in passages]
     terms = sorted({*vocabulary(texts), *(w for doc in read for s in doc for w in s)})
-    index = Columns(terms)
+    index = {t: i for i, t in enumerate(terms)}
     width = len(terms) + RARE
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, docs in _texts(batches):
-            got = _encode(docs, index)
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([t for t, _ in got], pa.list_(pa.int32())), pa.array([p for _, p in got], pa.list_(pa.int32())), pa.array([len(d) for d in docs], pa.int32())], ["key", "terms", "places", "total"])
+        index = Columns(terms)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                docs = [sentences(x, index) for x in part.column("text").to_pylist()]
+                total = np.fromiter(map(len, docs), np.int32, len(docs))
+                size = np.fromiter((len(s) for d in docs for s in d), np.int32, int(total.sum()))
+                flat = np.fromiter((c for d in docs for s in d for c in s), np.int32, int(size.sum()))
+                place = np.arange(len(size)) - np.repeat(np.cumsum(total) - total, total)
+                ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(total)))].astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (flat, np.repeat(place, size))]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *lists, pa.array(total)], ["key", "terms", "places", "total"])
 
     kind = texts.schema["key"].dataType.simpleString()
     encoded = checkpoint(texts.mapInArrow(encode, f"key {kind}, terms array<int>, places array<int>, total int"))
