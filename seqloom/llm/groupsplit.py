@@ -4,8 +4,8 @@ Rows are linked by protein and by isolate; each connected component lies in one
 component swap search: every chain starts from a hashed assignment, and every partition anneals its own
 components at the same time, moving or exchanging whole ones to reduce the deviation of sizes and of label
 counts. What a partition can't even out (as it holds a very large component) is passed to the others as a changed
-target in the next round. Chains differ by seed, and the best one is kept. A chain is a pure function of its
-seed and of the targets passed on, so only totals (3 splits x 5 numbers a partition and chain) travel.
+target in the next round, which goes on from the assignment of the last. Chains differ by seed, and the best one of
+all rounds is kept. Only totals (3 splits x 5 numbers a partition and chain) travel to the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ SPLITS = ("train", "validation", "test")
 LABELS = 3
 #: Numbers that are balanced of each component: rows, rows of each label, rows without label.
 WIDTH = LABELS + 2
+#: Components that a task anneals, and steps of a round for each of them and at least.
+COMPONENTS, STEPS_EACH, LEAST_STEPS = 10_000, 2, 3_000
 
 
 def groups(labels: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -69,42 +71,52 @@ def _cost(totals: np.ndarray, target: np.ndarray, scale: np.ndarray) -> np.ndarr
     return (d[..., 0] ** 2).sum(-1) * 4 + (d[..., 1:] ** 2).sum((-2, -1))
 
 
-def _anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int, steps: int) -> np.ndarray:
-    """The assignment of components (n, WIDTH) after annealing from `start` towards target (3, WIDTH)."""
-    n = len(sizes)
-    rng = np.random.default_rng(seed)
-    scale = np.maximum(1.0, sizes.sum(0))[None, :]
+def _anneal(sizes: np.ndarray, start: np.ndarray, target: np.ndarray, seeds: list[int], steps: int, warm: float = 0.1) -> np.ndarray:
+    """The assignments (chains, n) of components (n, WIDTH) after annealing from `start` towards target (chains, 3, WIDTH).
+
+    Each chain takes its own random steps; they are made side by side. warm: heat at the start, in parts of the cost.
+    """
+    n, chains = len(sizes), len(start)
+    every = np.arange(chains)
     where = start.copy()
-    totals = np.stack([sizes[where == s].sum(0) for s in range(3)])
+    scale = np.maximum(1.0, sizes.sum(0))[None, :]
+    totals = np.stack([[sizes[w == s].sum(0) for s in range(3)] for w in where])
     cost = _cost(totals, target, scale)
-    best, best_cost = where.copy(), cost
-    heat = max(cost, 1e-12) / 10
-    one, other, to, luck, swap = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, 3, steps), rng.random(steps), rng.random(steps) < 0.4
+    best, best_at = cost.copy(), np.zeros(chains, np.int64)
+    done: list[list[tuple[int, int, int, int]]] = [[] for _ in seeds]
+    draws = [np.random.default_rng(s) for s in seeds]
+    one, other = np.stack([r.integers(0, n, steps) for r in draws], 1), np.stack([r.integers(0, n, steps) for r in draws], 1)
+    to, luck = np.stack([r.integers(0, 3, steps) for r in draws], 1), np.stack([r.random(steps) for r in draws], 1)
+    swap = np.stack([r.random(steps) < 0.4 for r in draws], 1)
+    heat, cooling = np.maximum(cost, 1e-12) * warm, 1e-7 ** (1 / steps)
     for k in range(steps):
         i, j = one[k], other[k]
-        if swap[k]:
-            a, b = where[i], where[j]
-            delta = sizes[j] - sizes[i]
-        else:
-            a, b, j = where[i], to[k], -1
-            delta = -sizes[i]
-        if a == b:
+        from_, into = where[every, i], np.where(swap[k], where[every, j], to[k])
+        delta = np.where(swap[k][:, None], sizes[j], 0.0) - sizes[i]
+        delta[from_ == into] = 0.0
+        new = totals.copy()
+        new[every, from_] += delta
+        new[every, into] -= delta
+        cost_new = _cost(new, target, scale)
+        take = (from_ != into) & ((cost_new <= cost) | (luck[k] < np.exp(np.minimum(0.0, (cost - cost_new) / heat))))
+        heat *= cooling
+        if not take.any():
             continue
-        totals[a] += delta
-        totals[b] -= delta
-        new = _cost(totals, target, scale)
-        if new <= cost or luck[k] < np.exp((cost - new) / max(heat, 1e-18)):
-            cost = new
-            where[i] = b
-            if j >= 0:
-                where[j] = a
-            if cost < best_cost:
-                best, best_cost = where.copy(), cost
-        else:
-            totals[a] -= delta
-            totals[b] += delta
-        heat *= 0.997
-    return best
+        totals[take], cost[take] = new[take], cost_new[take]
+        for c in np.flatnonzero(take).tolist():
+            a, b, x, y = int(i[c]), int(j[c]) if swap[k, c] else -1, int(from_[c]), int(into[c])
+            where[c, a] = y
+            if b >= 0:
+                where[c, b] = x
+            done[c].append((a, b, x, y))
+            if cost[c] < best[c]:
+                best[c], best_at[c] = cost[c], len(done[c])
+    for c, moves in enumerate(done):  # back to the best assignment of the way
+        for a, b, x, y in reversed(moves[best_at[c] :]):
+            where[c, a] = x
+            if b >= 0:
+                where[c, b] = y
+    return where
 
 
 def _hashed(ids: np.ndarray, seed: int, shares: np.ndarray) -> np.ndarray:
@@ -114,59 +126,72 @@ def _hashed(ids: np.ndarray, seed: int, shares: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(shares)[:-1], u, side="right")
 
 
-def splits(grouped: DataFrame, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), chains: int = 6, rounds: int = 4, steps: int = 3000, seed: int = 7, partitions: int | None = None) -> DataFrame:
+def splits(grouped: DataFrame, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), chains: int = 6, rounds: int = 4, seed: int = 7, partitions: int | None = None) -> DataFrame:
     """(row_id, group_id, split): every row of `groups` with its split; rows of a group share one.
 
     shares are of rows; the counts of labels 0, 1, 2 and of rows without one are balanced in the same shares as
-    far as possible. The result depends on the rows, the parameters and the number of partitions only.
+    far as possible. The result depends on the rows, the parameters and the number of partitions only, by default one
+    for each COMPONENTS components.
     """
     share = np.asarray(shares, float) / sum(shares)
-    columns = ["group_id", "rows", *(f"n{i}" for i in range(LABELS)), "other"]
-    n = partitions or max(1, min(64, int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    parts = checkpoint(_sizes(grouped).repartition(n, "group_id").sortWithinPartitions("group_id").withColumn("part", F.spark_partition_id()))
-
-    def run(shift: dict[tuple[int, int], np.ndarray], only: int | None, emit: bool):
-        """shift: what is added to the target of a chain's partition."""
-
-        def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            frames = [b for b in batches if len(b)]
-            if not frames:
+    columns = ["rows", *(f"n{i}" for i in range(LABELS)), "other"]
+    sizes = checkpoint(_sizes(grouped))
+    n = partitions or max(1, -(-sizes.count() // COMPONENTS))
+    # chains: of each component, its split in each chain as a digit.
+    state = sizes.repartition(n, "group_id").sortWithinPartitions("group_id")
+    state = checkpoint(state.select(F.spark_partition_id().alias("part"), "group_id", *columns, F.lit(None).cast("string").alias("chains"), F.lit(None).cast("array<double>").alias("totals")))
+    schema = state.schema.simpleString()[7:-1].replace(":", " ")
+
+    def round_of(shift: dict[int, np.ndarray], turn: int):
+        """shift: what is added to the targets (chains, 3, WIDTH) of a partition. A row more has the partition's totals."""
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if not held:
                 return
-            frame = pd.concat(frames)
-            part = int(frame["part"].iloc[0])
-            ids, sizes = frame["group_id"].to_numpy(np.int64), frame[columns[1:]].to_numpy(np.float64)
-            for chain in range(chains) if only is None else (only,):
-                target = share[:, None] * sizes.sum(0)[None, :] + shift.get((chain, part), 0)
-                where = _anneal(sizes, _hashed(ids, seed + chain, share), target, seed * 1000 + chain * 100 + part, steps)
-                if emit:
-                    yield pd.DataFrame({"group_id": ids, "split": [SPLITS[s] for s in where]})
-                else:
-                    totals = np.stack([sizes[where == s].sum(0) for s in range(3)])
-                    yield pd.DataFrame([(chain, part, totals.ravel().tolist())], columns=["chain", "part", "totals"])
-
-        return parts.mapInPandas(f, "group_id bigint, split string" if emit else "chain int, part int, totals array<double>")
-
-    best: tuple[float, int, dict] | None = None
-    shift: dict[tuple[int, int], np.ndarray] = {}
+            table = pa.Table.from_batches(held)
+            table = table.filter(table.column("group_id").is_valid())
+            part, ids = table.column("part")[0].as_py(), table.column("group_id").to_numpy()
+            own = np.stack([table.column(c).to_numpy() for c in columns], 1).astype(np.float64)
+            if turn:
+                start = np.array([list(x) for x in table.column("chains").to_pylist()]).astype(np.int8).T.copy()
+            else:
+                start = np.stack([_hashed(ids, seed + c, share).astype(np.int8) for c in range(chains)])
+            target = share[:, None] * own.sum(0)[None, :] + shift.get(part, np.zeros((chains, 3, WIDTH)))
+            seeds = [((seed * 1000 + c) * 1000 + turn) * 100_000 + part for c in range(chains)]
+            where = _anneal(own, start, target, seeds, max(LEAST_STEPS, STEPS_EACH * len(ids)), 0.1 if turn == 0 else 0.01)
+            totals = np.stack([[own[w == s].sum(0) for s in range(3)] for w in where])
+            digits = ["".join(map(str, x)) for x in where.T.tolist()]
+            counts = [pa.array(np.append(x, 0).astype(np.int64)) for x in own.T]
+            last = [pa.array([part] * (len(ids) + 1), pa.int32()), pa.array([*ids.tolist(), None], pa.int64()), *counts, pa.array([*digits, None]), pa.array([*[None] * len(ids), totals.ravel().tolist()], pa.list_(pa.float64()))]
+            yield from pa.table(last, table.column_names).to_batches()
+
+        return f
+
+    best: tuple[float, int, DataFrame] | None = None
+    shift: dict[int, np.ndarray] = {}
     for turn in range(rounds):
-        # One row a chain and partition: at most chains x 64 rows of 15 numbers.
-        got = run(shift, None, False).collect()
+        state = checkpoint(state.mapInArrow(round_of(shift, turn), schema))
+        # One row of chains x 15 numbers for each partition.
+        got = {r.part: np.array(r.totals).reshape(chains, 3, WIDTH) for r in state.filter("group_id is null").select("part", "totals").collect()}
         if not got:
             break
-        following = dict(shift)
-        for chain in range(chains):
-            own = {r.part: np.array(r.totals).reshape(3, WIDTH) for r in got if r.chain == chain}
-            whole = sum(own.values())
-            everything = whole.sum(0)
-            target = share[:, None] * everything[None, :]
-            cost = float(_cost(whole, target, np.maximum(1.0, everything)[None, :]))
-            if best is None or cost < best[0]:
-                best = (cost, chain, shift)
-            # What is too much or too little is passed on: at first to all by their size, then, as it is but a few
-            # rows, which would be lost in rounding, to one partition after the other.
-            for k, (part, totals) in enumerate(sorted(own.items())):
-                weight = totals.sum(0) / np.maximum(everything, 1) if turn == 0 else np.full(WIDTH, float(k == (turn + chain) % len(own)))
-                following[(chain, part)] = following.get((chain, part), 0) + (target - whole) * weight[None, :]
-        shift = following
-    chosen = run(best[2], best[1], True) if best else parts.select("group_id", F.lit(None).cast("string").alias("split"))
+        whole = sum(got.values())
+        everything = whole[0].sum(0)
+        target = share[:, None] * everything[None, :]
+        cost = _cost(whole, target, np.maximum(1.0, everything)[None, :])
+        top = int(cost.argmin())
+        if best is None or cost[top] < best[0]:
+            best = (float(cost[top]), top, state)
+        # What is too much or too little is passed on: at first to all by their size, then, as it is but a few
+        # rows, which would be lost in rounding, to one partition after the other.
+        shift = dict(shift)
+        for k, (part, totals) in enumerate(sorted(got.items())):
+            weight = totals.sum(1) / np.maximum(everything, 1) if turn == 0 else np.stack([np.full(WIDTH, float(k == (turn + c) % len(got))) for c in range(chains)])
+            shift[part] = shift.get(part, 0) + (target[None] - whole) * weight[:, None, :]
+    if best is None:
+        return grouped.select("row_id", "group_id", F.lit(None).cast("string").alias("split"))
+    names = F.array(*(F.lit(x) for x in SPLITS))
+    digit = F.substring("chains", best[1] + 1, 1).cast("int")
+    chosen = best[2].filter("group_id is not null").select("group_id", F.get(names, digit).alias("split"))
     return grouped.join(chosen, "group_id").select("row_id", "group_id", "split")

@@ -42,17 +42,31 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "label_table"), table(spark, sf_dir, "chunk_manifest"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = checkpoint(p3_groups(spark, sf_dir).select("row_id", "group_id"))
-    linked = grouped.groupBy("group_id").count().filter("count > 1")
-    return grouped.join(linked, "group_id", "left_semi").select("row_id", "group_id")
-
-
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with its split."""
     return splits(checkpoint(p3_groups(spark, sf_dir)))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that share their split with others, as they were split."""
+    rows = checkpoint(p3_splits(spark, sf_dir))
+    linked = rows.groupBy("group_id").count().filter("count > 1")
+    return rows.join(linked, "group_id", "left_semi").select("row_id", "group_id")
+
+
+def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split: its target in rows, whether it is met within half a percent of all rows, and whether all its groups lie in it only."""
+    rows = checkpoint(p3_splits(spark, sf_dir))
+    torn = rows.groupBy("group_id").agg(F.min("split").alias("split"), F.countDistinct("split").alias("n")).filter("n > 1")
+    goals = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, share double")
+    got = rows.groupBy("split").agg(F.count("*").alias("rows"))
+    every = got.agg(F.sum("rows").alias("every"))  # one row
+    found = goals.join(got, "split", "left").join(torn.groupBy("split").agg(F.count("*").alias("torn")), "split", "left").crossJoin(F.broadcast(every))
+    target = F.round(F.col("share") * F.col("every")).cast("bigint")
+    near = F.abs(F.coalesce("rows", F.lit(0)) - F.col("share") * F.col("every")) <= 0.005 * F.col("every") + 1
+    return found.select("split", target.alias("target"), near.alias("near"), (F.coalesce("torn", F.lit(0)) == 0).alias("whole"))
+
+
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, groups and share of rows of each split, and the rows by label."""
     grouped = checkpoint(p3_groups(spark, sf_dir))
@@ -115,4 +129,4 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_leaves": p4_leaves, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_balance": p3_balance, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_leaves": p4_leaves, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}

