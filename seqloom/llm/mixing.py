@@ -5,9 +5,10 @@ the root is passed down: nodes above the weighted level get the sum of the weigh
 by the tokens they hold. A node can give at most its tokens times its repeats; what a child can't give is passed to
 its siblings first and only then, through the parent, to the parent's siblings. Each leaf then takes whole seeded
 epochs, in each of which every document comes once in its own random order, and of the last epoch the prefix that
-fits the rest of its budget.
+fits the rest of its budget. What is left of that, as the next document is too large, goes to the documents of the same
+node of the weighted level that have not been taken in this epoch and fit, again and again until none fits.
 
-The prefix is found without sorting a leaf: documents fall into 4,096 ranges of their hash, whose tokens are summed,
+A prefix is found without sorting a leaf: documents fall into 4,096 ranges of their hash, whose tokens are summed,
 and only in the one range where the budget ends documents are put in order.
 """
 
@@ -23,6 +24,8 @@ from ..session import checkpoint
 from .common import small, trimmed
 
 RANGE_BITS = 12
+#: Turns in which what is left of budgets is given out; each leaves at most half of the last document's size.
+MOST_TURNS = 12
 #: Leaves of the budget tree that the driver plans for: nodes of the weighted level times, say, languages.
 MOST_LEAVES = 100_000
 
@@ -106,6 +109,32 @@ def language(column) -> F.Column:
     return F.when(F.length(code) > 0, code).otherwise("und")
 
 
+def _take(docs: DataFrame, by: Sequence[str], rests: dict[tuple[str, ...], float]) -> DataFrame:
+    """docs with `more` set to 1 for the prefix, in the order of (h, doc_id), of those that fit the rest of their key.
+
+    docs: the columns of `by`, doc_id, tokens, h, range, open (can be taken) and more. A document that is larger than
+    twice the rest is passed over; the last one is taken if at least half of it lies within the rest.
+    """
+    spark = docs.sparkSession
+    rows = [(*key, rest) for key, rest in rests.items() if rest > 0]
+    goal = F.broadcast(spark.createDataFrame(rows, ", ".join([*(f"`{b}` string" for b in by), "rest double"])))  # at most MOST_LEAVES rows
+    docs = docs.join(goal, list(by), "left")
+    can = F.col("open") & (F.col("more") == 0) & (F.col("tokens") <= 2 * F.col("rest"))
+    docs = docs.withColumn("can", F.coalesce(can, F.lit(False)))
+    upto = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = docs.filter("can").groupBy(*by, "range").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("t").over(upto), F.lit(0)))
+    # The range in which the rest ends, one row for each key at most.
+    ends = ranges.filter("ahead + t > rest").groupBy(*by).agg(F.min(F.struct("range", "ahead")).alias("end"))
+    docs = docs.join(small(ends.select(*by, F.col("end.range").alias("end"), "end.ahead")), list(by), "left")
+    at_end = F.col("can") & F.coalesce(F.col("range") == F.col("end"), F.lit(False))
+    before = Window.partitionBy(*by).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = docs.filter(at_end).withColumn("now", (F.col("ahead") + F.coalesce(F.sum("tokens").over(before), F.lit(0)) + F.col("tokens") / 2) <= F.col("rest"))
+    other = docs.filter(~at_end).withColumn("now", F.col("can") & F.coalesce(F.col("range") < F.col("end"), F.lit(True)))
+    whole = last.unionByName(other).withColumn("more", F.when(F.col("now"), 1).otherwise(F.col("more")))
+    return whole.drop("rest", "can", "end", "ahead", "now")
+
+
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, path: Sequence[str] = ("domain", "source", "lang"), seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """The uses (doc_id, source, tokens, uses) of the documents that are used, and the report, a row for each target.
 
@@ -113,10 +142,12 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     targets: source (unique), weight (parts), max_repeats. total: tokens of the mixture; by default those of all
     documents of the sources in targets, once.
 
-    The report has target_share, tokens, share (reached), short (whether the source can't give its part of the
-    total), available and the number of documents and uses. A source without documents or with all texts empty is
+    The report has target_share, budget and tokens, share (reached), short (whether the source can't give its part of
+    the total), available and the number of documents and uses. A source without documents or with all texts empty is
     reported with 0 tokens. Null, NaN or negative weights count as 0, null max_repeats as 1. Documents of other
-    sources, or with null source or without tokens, are not used. Equal hashes are ordered by doc_id.
+    sources, or with null source or without tokens, are not used. Equal hashes are ordered by doc_id. Texts are taken
+    whole: a source that isn't short misses its budget by at most half of its smallest document that is still open.
+    More than MOST_LEAVES leaves are an error.
     """
     w = F.col("weight").cast("double")
     goals = small(
@@ -137,36 +168,46 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     total = float(sum(r.held for r in leaves)) if total is None else float(total)
     budgets = plan([(tuple(r[p] for p in names), r.held, r.max_repeats) for r in leaves], weights, names.index("source"), total)
 
-    rows = []
+    rows, rests = [], {}
     for r in leaves:
-        budget = budgets[tuple(r[p] for p in names)]
-        full = min(r.max_repeats, int(budget // r.held))
-        rest = budget - full * r.held if full < r.max_repeats else 0.0
-        rows.append((*(r[p] for p in names), full, rest))
+        leaf = tuple(r[p] for p in names)
+        full = min(r.max_repeats, int(budgets[leaf] // r.held))
+        rests[leaf] = budgets[leaf] - full * r.held if full < r.max_repeats else 0.0
+        rows.append((*leaf, full))
     spark = documents.sparkSession
-    schema = ", ".join([*(f"`{p}` string" for p in names), "epochs int", "rest double"])
+    schema = ", ".join([*(f"`{p}` string" for p in names), "epochs int"])
     chosen = F.broadcast(spark.createDataFrame(rows, schema))  # at most MOST_LEAVES rows
 
     # The order of a document in the last, partial epoch of its leaf.
     ordered = docs.join(chosen, names).withColumn("h", F.xxhash64(F.lit(seed), "epochs", F.col("doc_id")))
     ordered = ordered.withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS)).withColumn("h", F.shiftleft("h", RANGE_BITS))
-    ranges = ordered.filter("rest > 0").groupBy(*names, "range").agg(F.sum("tokens").alias("t"))
-    upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("t").over(upto), F.lit(0)))
-    ordered = ordered.join(ranges, [*names, "range"], "left")
-    inside = (F.col("rest") > 0) & (F.col("ahead") + F.col("t") <= F.col("rest"))
-    at_end = (F.col("rest") > 0) & ~inside & (F.col("ahead") < F.col("rest"))
-    before = Window.partitionBy(*names, "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    # A document belongs to the prefix if at least half of it lies within the budget.
-    last = ordered.filter(at_end).withColumn("more", ((F.col("ahead") + F.coalesce(F.sum("tokens").over(before), F.lit(0)) + F.col("tokens") / 2) <= F.col("rest")).cast("int"))
-    rest = ordered.filter(~F.coalesce(at_end, F.lit(False))).withColumn("more", F.coalesce(inside, F.lit(False)).cast("int"))
-    uses = last.unionByName(rest).select("doc_id", "source", "tokens", (F.col("epochs") + F.col("more")).alias("uses"))
+    ordered = ordered.withColumn("open", F.col("epochs") < F.col("max_repeats")).withColumn("more", F.lit(0))
+    by, top = names, names[: names.index("source") + 1]
+    for _ in range(MOST_TURNS):
+        ordered = checkpoint(_take(ordered, by, rests))
+        # What all leaves below a node of the weighted level have left is given out among them.
+        left: dict[tuple[str, ...], float] = {}
+        for leaf, rest in rests.items():
+            left[leaf[: len(top)]] = left.get(leaf[: len(top)], 0.0) + rest
+        taken = {tuple(r[p] for p in top): r.t for r in ordered.groupBy(*top).agg(F.sum(F.col("tokens") * F.col("more")).alias("t")).collect()}
+        if by is names:
+            goal = dict(left)
+        now = {node: goal[node] - taken.get(node, 0) for node in goal}
+        if by is not names and now == rests or not any(rest > 0 for rest in now.values()):
+            break
+        by, rests = top, now
+    uses = ordered.select("doc_id", "source", "tokens", (F.col("epochs") + F.col("more")).alias("uses"))
     uses = checkpoint(uses.filter("uses > 0"))
 
     got = uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.sum("uses").alias("uses"))
     have = held.groupBy("source").agg(F.sum("held").alias("available"))
     every = sum(r.t or 0 for r in got.agg(F.sum("tokens").alias("t")).collect())
     part = F.col("weight") / F.lit(everything or 1.0)
+    planned: dict[str, float] = {}
+    for path_, budget in budgets.items() if leaves else ():
+        name = path_[names.index("source")]
+        planned[name] = planned.get(name, 0.0) + budget
+    have = have.join(F.broadcast(spark.createDataFrame(list(planned.items()), "source string, budget double")), "source", "left")
     report = (
         goals.join(have, "source", "left")
         .join(got, "source", "left")
@@ -176,6 +217,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
             part.alias("target_share"),
             "max_repeats",
             F.coalesce("available", F.lit(0)).cast("bigint").alias("available"),
+            F.coalesce("budget", F.lit(0.0)).alias("budget"),
             F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"),
             F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses"),
             F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"),

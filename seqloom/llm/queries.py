@@ -115,6 +115,15 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: whether no document is used too often, and whether its tokens are its budget (all it may give if it is short), to a hundredth and a small document."""
+    uses, report = _mixed(spark, sf_dir)
+    most = uses.groupBy("source").agg(F.max("uses").alias("most"))
+    wanted = F.when(F.col("short"), F.col("available") * F.col("max_repeats")).otherwise(F.col("budget"))
+    near = F.abs(F.col("tokens") - wanted) <= F.when(F.col("short"), 0.5).otherwise(0.01 * wanted + 20)
+    rows = report.join(most, "source", "left")
+    return rows.select("source", F.col("max_repeats").cast("bigint").alias("max_repeats"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), near.alias("on_target"))
+
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas"))
@@ -129,4 +138,4 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_balance": p3_balance, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_leaves": p4_leaves, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_splits": p3_splits, "p3_balance": p3_balance, "p3_report": p3_report, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_leaves": p4_leaves, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p8_balance": p8_balance, "p9_found": p9_found, "p9_composition": p9_composition}

