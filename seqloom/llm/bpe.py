@@ -2,11 +2,14 @@
 
 The distinct pieces of a batch of texts are sorted into buckets by length. Each bucket is a padded matrix of
 token ids; in every round each row merges its leftmost pair of least rank, found through a hashed pair table,
-and the matrix is compacted by the one column that each row lost. Rows without a pair left are done.
+and the matrix is compacted by the one column that each row lost. Rows without a pair left are done. A round costs as
+much as its matrix is wide, so the few pieces of more than LONG bytes are merged in the same order by a heap of pairs
+over a linked list, in n log n.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -19,6 +22,8 @@ DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pattern that cuts a text into pieces before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
+#: Bytes of a piece from which on it is merged by a heap.
+LONG = 2048
 #: Characters of text handled at a time, distinct pieces kept between batches, and the longest piece kept.
 BLOCK_CHARS, MOST_KEPT, LONGEST_KEPT = 4_000_000, 300_000, 48
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +91,8 @@ class ByteBPE:
         self.bytes = np.array([vocab[c] for c in byte_symbols()], np.int32)
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int32).reshape(-1, 3)
         self.pairs = PairTable(ids[:, 0], ids[:, 1], ids[:, 2])
+        self.merged = self.pairs.merged.tolist()
+        self.ranks: dict[int, int] | None = None
         self.find = regex.compile(PIECES).findall
         self.kept: dict[str, np.ndarray] = {}
 
@@ -98,11 +105,52 @@ class ByteBPE:
         for b in np.unique(bucket):
             rows = np.flatnonzero(bucket == b)
             width = int(lengths[rows].max())
+            if width > LONG:
+                for r in rows:
+                    out[r] = self._merge_long(self.bytes[np.frombuffer(raw[r], np.uint8)])
+                continue
             most = max(1, 4_000_000 // width)
             for i in range(0, len(rows), most):
                 self._merge(rows[i : i + most], [raw[r] for r in rows[i : i + most]], lengths[rows[i : i + most]], width, out)
         return out
 
+    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """The ids after all merges of one piece, the leftmost pair of least rank first."""
+        if self.ranks is None:
+            used = self.pairs.keys >= 0
+            self.ranks = dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist()))
+        rank_of, merged, none = self.ranks.get, self.merged, int(NONE)
+        n = len(ids)
+        ranks = self.pairs.rank(ids[:-1], ids[1:]).tolist()
+        token, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank != none]
+        ranks.append(none)
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            top = pop(heap)
+            i, rank = top & 0xFFFFFFFF, top >> 32
+            if ranks[i] != rank:  # its tokens have been merged since
+                continue
+            gone = after[i]
+            token[i] = own = merged[rank]
+            following = after[i] = after[gone]
+            ranks[gone], token[gone] = -1, -1
+            if following < n:
+                before[following] = i
+                ranks[i] = now = rank_of(own << 32 | token[following], none)
+                if now != none:
+                    push(heap, now << 32 | i)
+            else:
+                ranks[i] = none
+            left = before[i]
+            if left >= 0:
+                ranks[left] = now = rank_of(token[left] << 32 | own, none)
+                if now != none:
+                    push(heap, now << 32 | left)
+        done = np.array(token, np.int32)
+        return done[done >= 0]
+
     def _merge(self, rows: np.ndarray, raw: list[bytes], lengths: np.ndarray, width: int, out: list[np.ndarray]) -> None:
         ids = np.full((len(rows), width), -1, np.int32)
         ids[np.arange(width)[None, :] < lengths[:, None]] = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]

@@ -1,4 +1,6 @@
 import os
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -62,3 +64,12 @@ def test_rows(spark, ours):
 
 def test_empty_table(spark):
     assert bpe.encode_texts(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_a_megabyte_in_one_piece(ours, theirs):
+    """A word of very many letters takes seconds, not hours, and has the same ids."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWYacdtheing") for _ in range(1_000_000))
+    began = time.perf_counter()
+    assert ids_of(ours, [text, "é" * 4000, " " * 9000 + "x"]) == [e.ids for e in theirs.encode_batch([text, "é" * 4000, " " * 9000 + "x"], add_special_tokens=False)]
+    assert time.perf_counter() - began < 60
