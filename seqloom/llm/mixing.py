@@ -24,8 +24,8 @@ from ..session import checkpoint
 from .common import small, trimmed
 
 RANGE_BITS = 12
-#: Turns in which what is left of budgets is given out; each leaves at most half of the last document's size.
-MOST_TURNS = 12
+#: Turns in which what is left of budgets is given out; each leaves less than the size of a document that was next.
+MOST_TURNS = 10
 #: Leaves of the budget tree that the driver plans for: nodes of the weighted level times, say, languages.
 MOST_LEAVES = 100_000
 
@@ -109,17 +109,19 @@ def language(column) -> F.Column:
     return F.when(F.length(code) > 0, code).otherwise("und")
 
 
-def _take(docs: DataFrame, by: Sequence[str], rests: dict[tuple[str, ...], float]) -> DataFrame:
+def _take(docs: DataFrame, by: Sequence[str], rests: dict[tuple[str, ...], float], half: bool) -> DataFrame:
     """docs with `more` set to 1 for the prefix, in the order of (h, doc_id), of those that fit the rest of their key.
 
     docs: the columns of `by`, doc_id, tokens, h, range, open (can be taken) and more. A document that is larger than
-    twice the rest is passed over; the last one is taken if at least half of it lies within the rest.
+    the rest is passed over; with `half`, one that is larger than twice the rest, and the last one is taken if at least
+    half of it lies within the rest.
     """
+    part = 0.5 if half else 1.0
     spark = docs.sparkSession
     rows = [(*key, rest) for key, rest in rests.items() if rest > 0]
     goal = F.broadcast(spark.createDataFrame(rows, ", ".join([*(f"`{b}` string" for b in by), "rest double"])))  # at most MOST_LEAVES rows
     docs = docs.join(goal, list(by), "left")
-    can = F.col("open") & (F.col("more") == 0) & (F.col("tokens") <= 2 * F.col("rest"))
+    can = F.col("open") & (F.col("more") == 0) & (F.col("tokens") * part <= F.col("rest"))
     docs = docs.withColumn("can", F.coalesce(can, F.lit(False)))
     upto = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = docs.filter("can").groupBy(*by, "range").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
@@ -129,7 +131,7 @@ def _take(docs: DataFrame, by: Sequence[str], rests: dict[tuple[str, ...], float
     docs = docs.join(small(ends.select(*by, F.col("end.range").alias("end"), "end.ahead")), list(by), "left")
     at_end = F.col("can") & F.coalesce(F.col("range") == F.col("end"), F.lit(False))
     before = Window.partitionBy(*by).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = docs.filter(at_end).withColumn("now", (F.col("ahead") + F.coalesce(F.sum("tokens").over(before), F.lit(0)) + F.col("tokens") / 2) <= F.col("rest"))
+    last = docs.filter(at_end).withColumn("now", (F.col("ahead") + F.coalesce(F.sum("tokens").over(before), F.lit(0)) + F.col("tokens") * part) <= F.col("rest"))
     other = docs.filter(~at_end).withColumn("now", F.col("can") & F.coalesce(F.col("range") < F.col("end"), F.lit(True)))
     whole = last.unionByName(other).withColumn("more", F.when(F.col("now"), 1).otherwise(F.col("more")))
     return whole.drop("rest", "can", "end", "ahead", "now")
@@ -182,19 +184,21 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     ordered = docs.join(chosen, names).withColumn("h", F.xxhash64(F.lit(seed), "epochs", F.col("doc_id")))
     ordered = ordered.withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS)).withColumn("h", F.shiftleft("h", RANGE_BITS))
     ordered = ordered.withColumn("open", F.col("epochs") < F.col("max_repeats")).withColumn("more", F.lit(0))
-    by, top = names, names[: names.index("source") + 1]
-    for _ in range(MOST_TURNS):
-        ordered = checkpoint(_take(ordered, by, rests))
-        # What all leaves below a node of the weighted level have left is given out among them.
-        left: dict[tuple[str, ...], float] = {}
-        for leaf, rest in rests.items():
-            left[leaf[: len(top)]] = left.get(leaf[: len(top)], 0.0) + rest
+    # First each leaf; then what all leaves below a node of the weighted level have left is given out among them; last,
+    # where no document fits any more, one goes beyond the rest if that is nearer to it.
+    top = names[: names.index("source") + 1]
+    goal: dict[tuple[str, ...], float] = {}
+    for leaf, rest in rests.items():
+        goal[leaf[: len(top)]] = goal.get(leaf[: len(top)], 0.0) + rest
+    by, half = names, False
+    for turn in range(MOST_TURNS):
+        half = half or turn == MOST_TURNS - 1
+        ordered = checkpoint(_take(ordered, by, rests, half))
         taken = {tuple(r[p] for p in top): r.t for r in ordered.groupBy(*top).agg(F.sum(F.col("tokens") * F.col("more")).alias("t")).collect()}
-        if by is names:
-            goal = dict(left)
-        now = {node: goal[node] - taken.get(node, 0) for node in goal}
-        if by is not names and now == rests or not any(rest > 0 for rest in now.values()):
+        now = {node: rest - taken.get(node, 0) for node, rest in goal.items()}
+        if half or not any(rest > 0 for rest in now.values()):
             break
+        half = by is top and now == rests
         by, rests = top, now
     uses = ordered.select("doc_id", "source", "tokens", (F.col("epochs") + F.col("more")).alias("uses"))
     uses = checkpoint(uses.filter("uses > 0"))
