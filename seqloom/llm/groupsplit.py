@@ -25,7 +25,7 @@ SPLITS = ("train", "validation", "test")
 LABELS = 3
 #: Numbers that are balanced of each component: rows, rows of each label, rows without label.
 WIDTH = LABELS + 2
-#: Components that a task anneals, and steps of a round for each of them and at least.
+#: Components that a task anneals, and steps of the first round for each of them (a quarter in the others) and at least.
 COMPONENTS, STEPS_EACH, LEAST_STEPS = 10_000, 2, 3_000
 
 
@@ -159,7 +159,7 @@ def splits(grouped: DataFrame, shares: tuple[float, float, float] = (0.8, 0.1, 0
                 start = np.stack([_hashed(ids, seed + c, share).astype(np.int8) for c in range(chains)])
             target = share[:, None] * own.sum(0)[None, :] + shift.get(part, np.zeros((chains, 3, WIDTH)))
             seeds = [((seed * 1000 + c) * 1000 + turn) * 100_000 + part for c in range(chains)]
-            where = _anneal(own, start, target, seeds, max(LEAST_STEPS, STEPS_EACH * len(ids)), 0.1 if turn == 0 else 0.01)
+            where = _anneal(own, start, target, seeds, max(LEAST_STEPS, STEPS_EACH * len(ids) >> (2 if turn else 0)), 0.1 if turn == 0 else 0.01)
             totals = np.stack([[own[w == s].sum(0) for s in range(3)] for w in where])
             digits = ["".join(map(str, x)) for x in where.T.tolist()]
             counts = [pa.array(np.append(x, 0).astype(np.int64)) for x in own.T]
