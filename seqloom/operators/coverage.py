@@ -1,13 +1,15 @@
 """Overlapping and gapped intervals: continuous periods and the gaps between them, per entity.
 
-Each entity's intervals live in an ordered map of disjoint intervals. An insertion finds the intervals it
-overlaps or touches by binary search and replaces them by their union, which also closes or narrows the gaps
-between neighbours. The same map is the keyed state of the streaming form (streaming/interval_state.py).
+Each entity's intervals live in an ordered map of disjoint intervals, the keyed state of a task (`KeyedMaps`). An
+insertion finds the intervals it overlaps or touches by binary search and replaces them by their union, which also
+closes or narrows the gaps between neighbours. The same map is the keyed state of the streaming form
+(streaming/interval_state.py).
 
 At scale: positions are cut into blocks of 2**BLOCK_BITS, so that the state of one (entity, block) is bounded
 whatever share of the rows an entity holds. Every input partition first merges its own rows (a map-side
 combine), then the partial periods are merged per (entity, block), and only the first and last period of a
-block take part in joining blocks to each other.
+block take part in joining blocks to each other. An interval has a piece in its first and in its last block; the whole
+blocks between are one interval of block numbers, and such intervals are merged in the same way, one level up.
 """
 
 from __future__ import annotations
@@ -63,99 +65,122 @@ def trimmed(column: Column) -> Column:
     return F.btrim(column, F.lit(BLANKS))
 
 
+class KeyedMaps:
+    """The state of a task: an interval map for each (entity, block)."""
+
+    def __init__(self) -> None:
+        self.maps: dict[tuple, IntervalMap] = {}
+        self.size = 0
+
+    def insert(self, batch: pd.DataFrame) -> None:
+        maps, size = self.maps, self.size
+        for key, block, start, end in zip(batch["key"].tolist(), batch["block"].tolist(), batch["s"].tolist(), batch["e"].tolist()):
+            found = maps.get((key, block))
+            if found is None:
+                maps[(key, block)] = IntervalMap([start], [end])
+                size += 1
+            else:
+                size += found.insert(start, end)
+        self.size = size
+
+    def leave(self, keep: tuple | None = None) -> list[tuple[tuple, IntervalMap]]:
+        """Take all maps out of the state, but for that of `keep`."""
+        kept = self.maps.pop(keep, None)
+        out = list(self.maps.items())
+        self.maps = {} if kept is None else {keep: kept}
+        self.size = 0 if kept is None else len(kept.starts)
+        return out
+
+
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[tuple, IntervalMap] = {}
-    count = 0
+    state = KeyedMaps()
 
     def flush() -> pd.DataFrame:
-        rows = [(key, block, start, end) for (key, block), m in held.items() for start, end in m.periods()]
+        rows = [(key, block, start, end) for (key, block), m in state.leave() for start, end in m.periods()]
         return pd.DataFrame(rows, columns=["key", "block", "s", "e"])
 
     for batch in batches:
-        for key, block, start, end in zip(batch["key"].tolist(), batch["block"].tolist(), batch["s"].tolist(), batch["e"].tolist()):
-            found = held.get((key, block))
-            if found is None:
-                held[(key, block)] = IntervalMap([start], [end])
-                count += 1
-            else:
-                count += found.insert(start, end)
-        if count > MOST_HELD:
+        state.insert(batch)
+        if state.size > MOST_HELD:
             yield flush()
-            held, count = {}, 0
-    if held:
+    if state.size:
         yield flush()
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, block) to rows of kind first and last (block edges), period and gap (final)."""
-    columns = ["key", "block", "kind", "s", "e"]
-    current, state = None, IntervalMap()
-
-    def emit(out: list) -> None:
-        if current is None:
-            return
-        key, block = current
-        n = len(state.starts)
-        for i, (start, end) in enumerate(state.periods()):
-            out.append((key, block, "edge" if i in (0, n - 1) else "period", start, end))
-        out.extend((key, block, "gap", start, end) for start, end in state.gaps())
+    """Rows sorted by (key, block) to rows of kind edge (first and last of a block), period and gap (final).
 
-    for batch in batches:
+    As rows are sorted, the maps of a batch are final but for the last one, which stays in the state.
+    """
+    state = KeyedMaps()
+
+    def emit(keep: tuple | None) -> pd.DataFrame:
         out: list[tuple] = []
-        for key, block, start, end in zip(batch["key"].tolist(), batch["block"].tolist(), batch["s"].tolist(), batch["e"].tolist()):
-            if current != (key, block):
-                emit(out)
-                current, state = (key, block), IntervalMap()
-            state.insert(start, end)
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-    out = []
-    emit(out)
-    if out:
-        yield pd.DataFrame(out, columns=columns)
+        for (key, block), held in state.leave(keep):
+            n = len(held.starts)
+            for i, (start, end) in enumerate(held.periods()):
+                out.append((key, block, "edge" if i in (0, n - 1) else "period", start, end))
+            out.extend((key, block, "gap", start, end) for start, end in held.gaps())
+        return pd.DataFrame(out, columns=["key", "block", "kind", "s", "e"])
 
+    for batch in batches:
+        if len(batch):
+            state.insert(batch)
+            done = emit((batch["key"].iloc[-1], int(batch["block"].iloc[-1])))
+            if len(done):
+                yield done
+    if state.size:
+        yield emit(None)
 
-def periods_and_gaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, kind, start, end): each continuous `period` of a key and each `gap` between two neighbouring periods.
 
-    Both ends are inside, of the input and of the result. The key is trimmed of surrounding white space.
-    Rows with a null key, start or end are left out; reversed ends are put in order; repeated rows count
-    once; an empty table gives no rows. Other columns are ignored, whatever their names.
-    """
+def _merged(rows: DataFrame) -> DataFrame:
+    """(key, kind, s, e) of intervals (key, lo, hi) in order; both ends inside."""
     size = 1 << BLOCK_BITS
-    rows = df.select(
-        trimmed(F.col(f"`{key}`").cast("string")).alias("key"),
-        F.least(F.col(f"`{start}`"), F.col(f"`{end}`")).cast("bigint").alias("lo"),
-        F.greatest(F.col(f"`{start}`"), F.col(f"`{end}`")).cast("bigint").alias("hi"),
-        (F.col(f"`{start}`").isNotNull() & F.col(f"`{end}`").isNotNull()).alias("whole"),
-    ).filter(F.col("key").isNotNull() & F.col("whole"))
-    blocks = rows.select(
-        "key", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", BLOCK_BITS), F.shiftright("hi", BLOCK_BITS))).alias("block")
-    )
-    cut = blocks.select(
+    first, last = F.shiftright("lo", BLOCK_BITS), F.shiftright("hi", BLOCK_BITS)
+    widest = rows.agg(F.max(last - first)).first()[0]
+    cut = rows.select("key", "lo", "hi", F.explode(F.array_distinct(F.array(first, last))).alias("block")).select(
         "key",
         "block",
         F.greatest("lo", F.col("block") * size).alias("s"),
         F.least("hi", F.col("block") * size + (size - 1)).alias("e"),
     )
-    schema = "key string, block bigint, s bigint, e bigint"
-    partial = cut.mapInPandas(_combine, schema)
+    partial = cut.mapInPandas(_combine, "key string, block bigint, s bigint, e bigint")
     merged = (
         partial.repartition("key", "block")
         .sortWithinPartitions("key", "block")
         .mapInPandas(_finish, "key string, block bigint, kind string, s bigint, e bigint")
     )
     # The edges of the blocks, at most two rows a block, are joined along each key; all else is final.
-    order = Window.partitionBy("key").orderBy("s")
-    edges = (
-        merged.filter("kind = 'edge'")
-        .select("key", "block", "s", "e", F.lag("e").over(order).alias("before"), F.lag("block").over(order).alias("block_before"))
-        .withColumn("starts", F.when(F.col("s") == F.col("before") + 1, 0).otherwise(1))
-        .withColumn("run", F.sum("starts").over(order))
-    )
+    edges = merged.filter("kind = 'edge'").select("key", "block", "s", "e", F.lit(None).cast("bigint").alias("upto"))
+    inner = merged.filter("kind <> 'edge'")
+    wide = widest is not None and widest > 1
+    if wide:
+        whole = _merged(rows.filter(last - first > 1).select("key", (first + 1).alias("lo"), (last - 1).alias("hi"))).filter("kind = 'period'")
+        edges = edges.unionByName(whole.select("key", F.col("s").alias("block"), (F.col("s") * size).alias("s"), (F.col("e") * size + (size - 1)).alias("e"), F.col("e").alias("upto")))
+    order = Window.partitionBy("key").orderBy("s", F.desc("e"))
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("before", F.max("e").over(ahead)).withColumn("covered", F.coalesce(F.max("upto").over(ahead) >= F.col("block"), F.lit(False)))
+    edges = edges.withColumn("starts", F.when(F.col("s") <= F.col("before") + 1, 0).otherwise(1)).withColumn("run", F.sum("starts").over(order))
+    if wide:  # nothing within the blocks that are covered as a whole is a period or gap of its own
+        inner = inner.join(edges.filter("covered and upto is null").select("key", "block").distinct(), ["key", "block"], "left_anti")
     joined = edges.groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("key", F.lit("period").alias("kind"), "s", "e")
-    between = edges.filter("starts = 1 and before is not null and block <> block_before").select(
+    between = edges.filter((F.col("starts") == 1) & F.col("before").isNotNull() & (F.shiftright("before", BLOCK_BITS) != F.col("block"))).select(
         "key", F.lit("gap").alias("kind"), (F.col("before") + 1).alias("s"), (F.col("s") - 1).alias("e")
     )
-    inner = merged.filter("kind <> 'edge'").select("key", "kind", "s", "e")
-    return inner.unionByName(joined).unionByName(between).select(F.col("key").alias(key), "kind", F.col("s").alias(start), F.col("e").alias(end))
+    return inner.select("key", "kind", "s", "e").unionByName(joined).unionByName(between)
+
+
+def periods_and_gaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, kind, start, end): each continuous `period` of a key and each `gap` between two neighbouring periods.
+
+    Both ends are inside, of the input and of the result. The key is trimmed of surrounding white space.
+    Rows with a null key, start or end are left out; reversed ends are put in order; repeated rows count
+    once; an empty table gives no rows. Other columns are ignored, whatever their names.
+    """
+    rows = df.select(
+        trimmed(F.col(f"`{key}`").cast("string")).alias("key"),
+        F.least(F.col(f"`{start}`"), F.col(f"`{end}`")).cast("bigint").alias("lo"),
+        F.greatest(F.col(f"`{start}`"), F.col(f"`{end}`")).cast("bigint").alias("hi"),
+        (F.col(f"`{start}`").isNotNull() & F.col(f"`{end}`").isNotNull()).alias("whole"),
+    ).filter(F.col("key").isNotNull() & F.col("whole"))
+    return _merged(rows.drop("whole")).select(F.col("key").alias(key), "kind", F.col("s").alias(start), F.col("e").alias(end))

@@ -89,3 +89,34 @@ def test_stream(spark, tmp_path):
             last[key] = (n, set())
         last[key][1].add((key, kind, s, e))
     assert set().union(*(x for _, x in last.values())) == brute(rows)
+
+
+def by_ends(rows):
+    """As brute, by sorting the ends, for intervals of any length."""
+    by, out = {}, set()
+    for _, q, a, b, *_ in rows:
+        by.setdefault(q, []).append((min(a, b), max(a, b)))
+    for q, spans in by.items():
+        merged = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        out |= {(q, "period", a, b) for a, b in merged}
+        out |= {(q, "gap", x[1] + 1, y[0] - 1) for x, y in zip(merged, merged[1:])}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_very_long_intervals(spark, seed):
+    """Intervals of many blocks, up to 2**50 positions, are not cut into all their blocks."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        a = rng.choice([0, 2**16, 2**20, 2**33, 2**40, -(2**34)]) + rng.choice([-1, 0, 1, rng.randrange(2**18), rng.randrange(2**36)])
+        size = rng.choice([0, 3, 2**16 - 1, 2**16, 2**17, rng.randrange(2**19), 2**33] + [2**50] * (seed == 4))
+        rows.append((i, rng.choice(["p", "q"]), a, a + size, "x", "y", "z"))
+    got = periods_and_gaps(spark.createDataFrame(rows, "hit bigint, q string, a bigint, b bigint, s string, e string, kind string").repartition(3), "q", "a", "b")
+    assert {tuple(r) for r in got.collect()} == by_ends(rows)
+    assert got.count() == len(by_ends(rows))
