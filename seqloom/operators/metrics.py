@@ -15,6 +15,25 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 
 
+def _running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows with, for each column in sums, its running sum along `order` within the keys, and its sum over all of the key.
+
+    Without keys all rows are one order: they are range partitioned, and what the partitions before hold is added to
+    the sums within each, so that no task has them all.
+    """
+    if keys:
+        along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*keys)
+        return rows.select("*", *(F.sum(c).over(along).alias(so_far) for c, (so_far, _) in sums.items()), *(F.sum(c).over(whole).alias(in_all) for c, (_, in_all) in sums.items()))
+    parts = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    held = parts.groupBy("__p").agg(*(F.sum(c).alias(c) for c in sums))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    ahead = held.select("__p", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in sums), *(F.sum(c).over(Window.partitionBy()).alias(in_all) for c, (_, in_all) in sums.items()))
+    along = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.join(F.broadcast(ahead), "__p")
+    return out.select(*rows.columns, *((F.sum(c).over(along) + F.col(f"__{c}")).alias(so_far) for c, (so_far, _) in sums.items()), *(in_all for _, in_all in sums.values()))
+
+
 def score_counts(df: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
     """(keys, score, tp, n, tps, ns, pos, total): rows and positives at each score, so far from the best on, and in all.
 
@@ -22,9 +41,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str, positive: Colum
     """
     x = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     counts = x.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count_if(positive).alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return counts.select("*", F.sum("tp").over(down).alias("tps"), F.sum("n").over(down).alias("ns"), F.sum("tp").over(whole).alias("pos"), F.sum("n").over(whole).alias("total"))
+    return _running(counts, keys, [F.desc("score")], {"tp": ("tps", "pos"), "n": ("ns", "total")})
 
 
 def _grouped(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
@@ -50,11 +67,9 @@ def curves(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def row_curves(df: DataFrame, keys: Sequence[str], score: str, positive: Column, tie: str) -> DataFrame:
     """(keys, n, recall, precision, fpr): a point for each row, ties in the order of `tie`."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    hit = F.when(positive, 1).otherwise(0)
     x = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    x = x.select(*keys, F.sum(F.lit(1)).over(order).alias("n"), F.sum(hit).over(order).alias("tps"), F.sum(hit).over(whole).alias("pos"), F.count("*").over(whole).alias("total"))
+    x = x.select(*keys, F.col(score).alias("__score"), F.col(tie).alias("__tie"), F.when(positive, 1).otherwise(0).alias("__hit"), F.lit(1).alias("__one"))
+    x = _running(x, keys, [F.desc("__score"), F.asc("__tie")], {"__hit": ("tps", "pos"), "__one": ("n", "total")})
     return x.select(
         *keys, F.col("n").cast("bigint").alias("n"), (F.col("tps") / F.nullif(F.col("pos"), F.lit(0))).alias("recall"), (F.col("tps") / F.col("n")).alias("precision"), ((F.col("n") - F.col("tps")) / F.nullif(F.col("total") - F.col("pos"), F.lit(0))).alias("fpr")
     )

@@ -125,10 +125,6 @@ def a12_best_score(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("source", "seq_id", "value", F.col("fold").cast("bigint").alias("fold"))
 
 
-#: Sources whose values are e-values.
-_LOW = ["hmm_screen", "cdd_blast", "reef_survey", "plant_bank"]
-
-
 def _curve(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
     s = checkpoint(_scores(spark, d))
     sizes = s.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -141,21 +137,21 @@ def a26_threshold_curve(spark: SparkSession, d: str) -> DataFrame:
 
 def a28_operating_points(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.createDataFrame([(0.001,), (0.01,), (0.1,)], "target double")
-    c = _curve(spark, d, ["source"]).withColumnRenamed("source", "src")
-    x = M.operating_points(c, ["src"], targets, F.col("src").isin(_LOW))
+    c = _curve(spark, d, ["source", "metric"]).withColumnRenamed("source", "src")
+    x = M.operating_points(c, ["src", "metric"], targets, F.col("metric") == "evalue")
     return x.select("src", "target", F.when(F.col("source") == "data", F.col("threshold")).alias("threshold"), _r("fpr").alias("fpr"), "source")
 
 
 def a29_held_out(spark: SparkSession, d: str) -> DataFrame:
     """The rate in each fold at the threshold that the other folds give for a target of 0.05."""
     s = checkpoint(_scores(spark, d))
-    folds = F.explode(F.array(*(F.lit(i) for i in range(5))))
-    x = s.withColumn("held", folds)
+    # One row a fold and source; each row of a source meets the folds of its source.
+    x = s.join(s.select("source", F.col("fold").alias("held")).distinct(), "source")
     train = x.filter("held <> fold")
-    sizes = train.groupBy("source", "held").agg(F.count("*").alias("n"))
+    sizes = train.groupBy("source", "metric", "held").agg(F.count("*").alias("n"))
     low = F.col("metric") == "evalue"
-    c = M.threshold_fpr(train, sizes, ["source", "held"], "value", low).filter("fpr <= 0.05")
-    k = F.when(F.col("source").isin(_LOW), F.col("threshold")).otherwise(-F.col("threshold"))
+    c = M.threshold_fpr(train, sizes, ["source", "metric", "held"], "value", low).filter("fpr <= 0.05")
+    k = F.when(low, F.col("threshold")).otherwise(-F.col("threshold"))
     t = c.groupBy("source", "held").agg(F.max_by("threshold", k).alias("t"))
     test = x.filter("held = fold").join(t, ["source", "held"], "left")
     hit = F.coalesce(F.when(low, F.col("value") <= F.col("t")).otherwise(F.col("value") >= F.col("t")), F.lit(False))
@@ -288,14 +284,18 @@ def w19_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j14_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """For each hit the nearest start of an entry's span on the same base, ties to the smaller: two ordered looks, no pairs."""
+    """For each hit the nearest start of an entry's span on the same base, ties to the smaller: two ordered looks, no pairs.
+
+    Positions of a base are looked up once each, so that the rows of a base are no more than its length.
+    """
     h = table(spark, d, "hmmer_dom_hits").filter("qid is not null and ali_from is not null").select(trimmed(F.col("qid")).alias("k"), F.col("ali_from").cast("bigint").alias("p"), "hit_id")
     e = table(spark, d, "pooled_json").filter("base_id is not null").select(F.col("base_id").alias("k"), (F.col("orig_start") + F.col("S_idx")).cast("bigint").alias("p")).distinct()
-    u = h.select("k", "p", "hit_id", F.lit(None).cast("bigint").alias("q")).unionByName(e.select("k", "p", F.lit(None).cast("bigint").alias("hit_id"), F.col("p").alias("q")))
-    w = Window.partitionBy("k").orderBy("p")
-    x = u.select("*", F.last("q", True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("a"), F.first("q", True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("b")).filter("hit_id is not null")
+    u = h.select("k", "p", F.lit(None).cast("bigint").alias("q")).distinct().unionByName(e.select("k", "p", F.col("p").alias("q"))).groupBy("k", "p").agg(F.max("q").alias("q"))
+    up, down = (Window.partitionBy("k").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("p"), F.desc("p")))
+    x = u.select("k", "p", F.last("q", True).over(up).alias("a"), F.last("q", True).over(down).alias("b"))
     left = F.col("b").isNull() | (F.col("p") - F.col("a") <= F.col("b") - F.col("p"))
-    return x.select("hit_id", F.when(left & F.col("a").isNotNull(), F.col("a")).otherwise(F.col("b")).alias("nearest")).filter("nearest is not null")
+    x = x.select("k", "p", F.when(left & F.col("a").isNotNull(), F.col("a")).otherwise(F.col("b")).alias("nearest")).filter("nearest is not null")
+    return h.join(x, ["k", "p"]).select("hit_id", "nearest")
 
 
 def f25_json_field(spark: SparkSession, d: str) -> DataFrame:
@@ -376,7 +376,7 @@ select count(*) as n, count(*) filter (where labels = 0) as n_0, count(*) filter
     "a28_operating_points": f"""with {_SC}, {_fpr('source')}, t as (select * from (values (0.001::double), (0.01::double), (0.1::double)) v(target)),
 k as (select source as src, target, max(passed) filter (where fpr <= target) as p from g, t group by source, target)
 select k.src, k.target, g.threshold, round(coalesce(g.fpr, 0.0), 6) as fpr, case when g.threshold is null then 'boundary' else 'data' end as source from k left join g on g.source = k.src and g.passed = k.p""",
-    "a29_held_out": f"""with {_SC}, h as (select unnest(range(5)) as held), x as (select s.*, held from s, h),
+    "a29_held_out": f"""with {_SC}, h as (select distinct source, fold as held from s), x as (select s.*, held from s join h using (source)),
 n as (select source, held, count(*) as n from x where held <> fold group by source, held),
 c as (select source, held, metric, value as threshold, count(*) as c from x where held <> fold and value is not null group by source, held, metric, value),
 f as (select source, held, metric, threshold, sum(c) over (partition by source, held order by case when metric = 'evalue' then threshold else -threshold end) as passed from c),

@@ -88,7 +88,7 @@ def a7_panels(spark: SparkSession, d: str) -> DataFrame:
     w = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.abs(F.get(F.col("embedding"), i * 8)).cast("double"))
     x = _emb(spark, d).select("vec_id", Po.panels(tokens, w, F.lit(2), F.lit(5), 3).alias("p"))
     names = ["full_mean", "full_attn_norm", "span_mean", "span_attn_norm", "topk_attn_norm", "nonspan_mean"]
-    return x.select("vec_id", *(_rounded(f"p.{n}", 5).alias(n) for n in names))
+    return x.select("vec_id", *(F.transform(f"p.{n}", lambda v: F.round(v.cast("double"), 5) + F.lit(0.0)).alias(n) for n in names))  # no -0.0
 
 
 def a8_residue_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -252,10 +252,11 @@ with x as (select label, vec_id % 7 as w, unnest(range(0, 64)) as i, unnest(embe
 select label, list(round(x, 6) order by i) as v from m group by 1""",
     "a7_panels": f"""with {_TOK}, k as (select distinct vec_id, i, w from x), r as (select vec_id, i, row_number() over (partition by vec_id order by w desc, i) as n from k),
 y as (select x.*, r.n from x join r using (vec_id, i)),
-m as (select vec_id, j, avg(x) as a, case when sum(w) > 1e-12 then sum(w * x) / sum(w) else avg(x) end as b, avg(x) filter (where i between 2 and 5) as c,
-  sum(w * x) filter (where i between 2 and 5) / sum(w) filter (where i between 2 and 5) as d, sum(w * x) filter (where n <= 3) / sum(w) filter (where n <= 3) as e, avg(x) filter (where i not between 2 and 5) as f from y group by 1, 2)
-select vec_id, list(round(a, 5) order by j) as full_mean, list(round(b, 5) order by j) as full_attn_norm, list(round(c, 5) order by j) as span_mean, list(round(d, 5) order by j) as span_attn_norm,
-  list(round(e, 5) order by j) as topk_attn_norm, list(round(f, 5) order by j) as nonspan_mean from m group by 1""",
+o as (select vec_id, j, list(x order by i) as xs, list(w order by i) as ws, list(w * x order by i) as wx, list(w order by n) filter (where n <= 3) as wt, list(w * x order by n) filter (where n <= 3) as xt from y group by 1, 2),
+m as (select vec_id, j, list_sum(xs) / 8 as a, case when list_sum(ws) > 1e-12 then list_sum(wx) / list_sum(ws) else list_sum(xs) / 8 end as b, list_sum(xs[3:6]) / 4 as c,
+  list_sum(wx[3:6]) / list_sum(ws[3:6]) as d, list_sum(xt) / list_sum(wt) as e, list_sum(list_concat(xs[1:2], xs[7:8])) / 4 as f from o)
+select vec_id, list(round(a, 5) + 0.0 order by j) as full_mean, list(round(b, 5) + 0.0 order by j) as full_attn_norm, list(round(c, 5) + 0.0 order by j) as span_mean, list(round(d, 5) + 0.0 order by j) as span_attn_norm,
+  list(round(e, 5) + 0.0 order by j) as topk_attn_norm, list(round(f, 5) + 0.0 order by j) as nonspan_mean from m group by 1""",
     "a8_residue_vectors": "select vec_id, 'span' as scope, [2, 3, 4, 5]::bigint[] as local_pos, [102, 103, 104, 105]::bigint[] as abs_pos, list_transform([17, 25, 33, 41], lambda i: round(embedding[i]::double, 6)) as w from embeddings",
     "a10_deduplicated": """
 with b as (select vec_id % 50 as k, vec_id from embeddings qualify row_number() over (partition by vec_id % 50 order by embedding[1] desc, vec_id) = 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,12 +37,14 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage into the session's shared checkpoint folder, so that lost executors cost no recomputation.
 
     The folder is the session's spark.checkpoint.dir; only where neither it nor a context folder is set
-    (tests on one machine) a temporary one is made.
+    (tests on one machine) a temporary one is made; on a cluster a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
     return df.checkpoint(eager=eager)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,20 @@ def gff3_rows(df: DataFrame, least_p: float = 0.0, extra: Sequence[str] = (), so
 
 
 def write_gff3(df: DataFrame, path: str, mode: str = "errorifexists", **options) -> None:
-    """Features by partition, each file beginning with the version line."""
-    rows = gff3_rows(df, **options).select(F.spark_partition_id().alias("p"), F.lit(1).alias("k"), "value")
-    heads = rows.select("p").distinct().select("p", F.lit(0).alias("k"), F.lit("##gff-version 3").alias("value"))
-    rows.unionByName(heads).repartition("p").sortWithinPartitions("p", "k", "value").select("value").write.mode(mode).text(path)
+    """Features in the order of the input, a file a partition, each beginning with the version line; one file with it for no features."""
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = pa.RecordBatch.from_arrays([pa.array(["##gff-version 3"])], ["value"])
+        begun = TaskContext.get().partitionId() == 0
+        if begun:
+            yield head
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                yield head
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    gff3_rows(df, **options).mapInArrow(headed, "value string").write.mode(mode).text(path)
 
 
 def write_json(df: DataFrame, path: str, meta: dict | None = None, mode: str = "errorifexists") -> None:
@@ -50,9 +62,12 @@ def write_json(df: DataFrame, path: str, meta: dict | None = None, mode: str = "
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "_meta"))
 
 
-def json_object(df: DataFrame, key: str, meta: dict | None = None) -> str:
-    """All rows as one JSON object by key, for results of a bounded size; `_meta` first."""
-    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j"), F.col(key).alias("k")).orderBy("k").collect()
+def json_object(df: DataFrame, key: str, meta: dict | None = None, most: int = 100_000) -> str:
+    """All rows as one JSON object by key, for results of at most `most` rows (else an error; write_json has no limit); `_meta` first."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j"), F.col(key).alias("k")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    rows.sort(key=lambda r: r.k)
     out = {"_meta": meta} if meta is not None else {}
     return json.dumps(out | {str(r.k): json.loads(r.j) for r in rows})
 
