@@ -174,3 +174,33 @@ def gib(bytes_: Column) -> Column:
 
 def finite_or_null(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def clamped_span(span: Column, length: Column) -> Column:
+    """A 1-based closed STRUCT<s, e> moved into 1..length, in order; nulls for lengths below 1."""
+    at = lambda x: F.when(length > 0, F.greatest(F.lit(1), F.least(x, length)))
+    s, e = at(span["s"]), at(span["e"])
+    both = s.isNotNull() & e.isNotNull() & span["s"].isNotNull() & span["e"].isNotNull()
+    return F.struct(F.when(both, F.least(s, e)).alias("s"), F.when(both, F.greatest(s, e)).alias("e"))
+
+
+def hit_confidence(hits: Column) -> Column:
+    """ln(1 + hits) / ln 4, at most 1: the variant that counts hits."""
+    return clip01(F.log1p(F.coalesce(hits, F.lit(0)).cast("double")) / math.log(4))
+
+
+def fit_quality(rss: Column, tss: Column, n: Column, parameters: int) -> Column:
+    """STRUCT<r2, aic, bic> of a fit; r2 is null for no variation, the criteria for no residuals or points."""
+    scaled = F.when((rss > 0) & (n > 0), n * F.log(rss / n))
+    return F.struct(F.when(tss > 0, 1 - rss / F.nullif(tss, F.lit(0.0))).alias("r2"), (scaled + 2 * parameters).alias("aic"), (scaled + parameters * F.log(n.cast("double"))).alias("bic"))
+
+
+def token_vectors(vectors: Column, length: Column, width: int) -> Column:
+    """Token vectors repaired: turned where they lie by dimension, and without the marks of beginning and end where there are two more than residues.
+
+    vectors: ARRAY<ARRAY<FLOAT>>. Null where the number of tokens doesn't fit the length then.
+    """
+    first = F.size(F.get(vectors, F.lit(0)))
+    turned = F.transform(F.sequence(F.lit(0), F.greatest(first - 1, F.lit(0))), lambda i: F.transform(vectors, lambda v: F.get(v, i)))
+    lies = (first != width) & (F.size(vectors) == width)
+    return bound(F.when(lies, turned).otherwise(vectors), lambda v: F.when(F.size(v) == length + 2, F.slice(v, 2, length)).when(F.size(v) == length, v))

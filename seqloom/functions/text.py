@@ -124,3 +124,62 @@ def domain_label(primary: Column, fallback: Column) -> Column:
     """The first that isn't null, empty or `-`, with runs of white space as one blank."""
     known = lambda c: F.when(~F.trim(c).isin("", "-"), c)
     return F.trim(F.regexp_replace(F.coalesce(known(primary), known(fallback)), r"\s+", " "))
+
+
+def safe_key(text: Column) -> Column:
+    """Slashes become `_`."""
+    return F.translate(text, "/", "_")
+
+
+def safe_file_name(text: Column) -> Column:
+    """Characters other than letters, digits and `._-` become `_`, one for each."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}._-]", "_")
+
+
+# The full name of each model, by the names that stand for it.
+MODEL_NAMES = {
+    "300m": "esmc_300m",
+    "esmc_300m": "esmc_300m",
+    "esmc-300m": "esmc_300m",
+    "600m": "esmc_600m",
+    "esmc_600m": "esmc_600m",
+    "esmc-600m": "esmc_600m",
+    "6b": "esmc-6b-2024-12",
+    "esmc_6b": "esmc-6b-2024-12",
+    "esmc-6b": "esmc-6b-2024-12",
+    "esmc-6b-2024-12": "esmc-6b-2024-12",
+}
+# Names of models that run on the spot.
+LOCAL_MODELS = ("esmc_300m", "esmc_600m", "esmc-300m", "esmc-600m")
+
+
+def model_name(name: Column) -> Column:
+    """The full name of a model, whatever the case and blanks around; other names as they are."""
+    known = F.create_map(*(F.lit(x) for pair in MODEL_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(name))), name)
+
+
+def is_local_model(name: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(name)).isin(*LOCAL_MODELS), F.lit(False))
+
+
+def required_chunk(chunk: Column) -> Column:
+    """As parsed_chunk, but an error for ids of another form."""
+    parsed = parsed_chunk(chunk)
+    return F.when(parsed["parent"].isNotNull() | chunk.isNull(), parsed).otherwise(F.raise_error(F.concat(F.lit("not a chunk id: "), chunk)))
+
+
+def motif_centre(position: Column, *sequences: Column) -> Column:
+    """The middle of a motif that begins at position, by the first sequence that isn't null or empty; the position if there is none."""
+    seq = F.coalesce(*(F.nullif(s, F.lit("")) for s in sequences))
+    return F.when(seq.isNotNull(), position + (F.length(seq) - 1) / 2.0).otherwise(position.cast("double"))
+
+
+def noncanonical_order(order: Column) -> Column:
+    """Whether an order of motifs is known and not ABC."""
+    return F.coalesce(~F.upper(F.trim(order)).isin("", ".", "ABC"), F.lit(False))
+
+
+def has_all_motifs(kv: Column) -> Column:
+    """Whether a MAP has posA, posB and posC."""
+    return F.coalesce(F.map_contains_key(kv, F.lit("posA")) & F.map_contains_key(kv, F.lit("posB")) & F.map_contains_key(kv, F.lit("posC")), F.lit(False))

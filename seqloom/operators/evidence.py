@@ -23,6 +23,7 @@ def first_match(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
 def chosen_span(lo: Column, hi: Column, lo2: Column, hi2: Column, least: int = 30, most: int = 400, least2: int = 30, most2: int = 600) -> Column:
     """STRUCT<source, lo, hi, reason> of two 1-based closed spans, the second only where the first is missing or reversed, not where its length is out of range."""
     n, n2 = hi - lo + 1, hi2 - lo2 + 1
+    # The names of the sources and the beginnings of the reasons.
     span = lambda source, a, b, reason: F.struct(F.lit(source).alias("source"), a.cast("int").alias("lo"), b.cast("int").alias("hi"), reason.alias("reason"))
     none, null = "", F.lit(None).cast("int")
     why = F.when(hi < lo, F.concat(F.lit("pp_wrapped:"), lo.cast("string"), F.lit(">"), hi.cast("string"))).otherwise(F.lit("pp_missing"))
@@ -33,6 +34,56 @@ def chosen_span(lo: Column, hi: Column, lo2: Column, hi2: Column, least: int = 3
     )
 
 
+#: The codes of a decision, in the order in which their conditions are looked at; the first letter is the label.
+DECISIONS = (
+    "P_RESCUED_BY_CLEAN_PALM_SPAN",
+    "P_CONSENSUS_CLEAN_PP",
+    "P_CONSENSUS_CLEAN_EXT",
+    "N_NONRDRP_PFAM_OR_CDD_DOMINANT",
+    "U_PALM_SPAN_CONFLICTS_WITH_NONRDRP_PFAM_OR_CDD",
+    "U_NO_USABLE_PALM_SPAN",
+    "U_RDRPCATCH_CONFLICTS_WITH_NONRDRP_PFAM_OR_CDD",
+    "U_FULL_NONRDRP_BUT_RDRPCATCH_POSITIVE",
+    "U_RDRPCATCH_ONLY_OR_LOW_PALM_SCORE",
+    "U_PALMANNOT_ONLY",
+    "U_PALMANNOT_LOW_SCORE_ONLY",
+    "U_NO_HIGH_CONFIDENCE_SIGNAL",
+)
+
+
+def decision(hit: Column, hit_conflict: Column, score: Column, strong: Column, span_source: Column, span_conflict: Column, covered: Column) -> Column:
+    """The code of a record's evidence. Null conditions are false.
+
+    hit, strong: whether the profile search, and the score of the annotation, are positive. hit_conflict, span_conflict:
+    whether other domains overlap the span of each too much. span_source: `pp`, `ext` or empty for no usable span.
+    covered: whether other domains cover most of the record. score: of the annotation, null where there is none.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    hit, strong, clash, span_clash, full = yes(hit), yes(strong), yes(hit_conflict), yes(span_conflict), yes(covered)
+    usable = yes(span_source.isin("pp", "ext"))
+    both, only_hit = hit & strong, hit & ~strong
+    clean = both & usable & ~span_clash
+    conditions = (
+        clean & clash,
+        clean & (span_source == "pp"),
+        clean,
+        full & ~hit & ~strong,
+        both & usable & span_clash,
+        both & ~usable,
+        only_hit & clash,
+        only_hit & full,
+        only_hit,
+        strong & ~hit,
+        score > 0,
+    )
+    return first_match(list(zip(conditions, DECISIONS)), DECISIONS[-1])
+
+
+def source_names(names: dict[str, Column]) -> Column:
+    """The names whose condition is true, joined with `+`."""
+    return F.array_join(F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in names.items())), lambda x: x.isNotNull()), "+")
+
+
 def hit_coverage(hits: DataFrame, lengths: DataFrame, key: str, start: str, end: str, excluded: DataFrame | None = None, on: str | None = None, most_evalue: float | None = None, evalue: str = "i_evalue") -> DataFrame:
     """(key, length, covered, coverage): union of the hits by key over its length; the coverage may exceed 1.
 
@@ -72,4 +123,4 @@ def normalised_span(s: Column, e: Column, length: Column, k: float = 2.0) -> Col
     )
 
 
-__all__ = ["chosen_span", "conflict", "evidence_confidence", "first_match", "hit_coverage", "normalised_span", "overlap_with_span"]
+__all__ = ["DECISIONS", "chosen_span", "conflict", "decision", "evidence_confidence", "first_match", "hit_coverage", "normalised_span", "overlap_with_span", "source_names"]

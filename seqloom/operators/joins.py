@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import best_rows
+
 #: Distinct lengths of patterns that one join takes.
 MOST_LENGTHS = 1000
 
@@ -41,3 +45,34 @@ def cascade_match(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFram
     loose = rest.join(found, "a", "left").select("a", F.when(F.col("n") == 1, F.col("b")).alias("b"), F.when(F.col("n") == 1, "contained").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("how"))
     out = exact.withColumn("how", F.lit("exact")).unionByName(loose)
     return out.select(F.col("a").alias(a), F.col("b").alias(b) if a != b else F.col("b").alias(f"{b}_matched"), "how")
+
+
+def allowed(df: DataFrame, key: str, ids: DataFrame, most: int = 1000) -> DataFrame:
+    """The rows of df whose key is in the first column of ids: a filter that reaches the scan for up to `most` ids, a semi-join for more."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("__id")).filter("__id is not null").distinct()
+    few = [r[0] for r in wanted.limit(most + 1).collect()]
+    if len(few) <= most:
+        return df.filter(F.col(key).isin(few))
+    return df.join(wanted, F.col(key) == F.col("__id"), "left_semi")
+
+
+def with_best(df: DataFrame, scores: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
+    """df with columns of the best row of scores for its keys, null where there is none."""
+    return df.join(best_rows(scores, keys, order).select(*keys, *columns), list(keys), "left")
+
+
+def looked_up(df: DataFrame, on: str, table: DataFrame, key: str, value: str, out: str, default: Column | None = None) -> DataFrame:
+    """df with the value that table (unique keys) has for df's column `on`, else the default."""
+    x = df.join(table.select(F.col(key).alias("__k"), F.col(value).alias("__v")), F.col(on) == F.col("__k"), "left")
+    return x.withColumn(out, F.col("__v") if default is None else F.coalesce("__v", default)).drop("__k", "__v")
+
+
+def with_lists(df: DataFrame, key: str, found: DataFrame, item: Column, out: str, source: str) -> DataFrame:
+    """df with the sorted distinct items that found has for its key, an empty list if none, and whether there are any in `source`.
+
+    For keys with a bounded number of items, such as the predictions of a chunk.
+    """
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("__l"))
+    kind = lists.schema["__l"].dataType
+    x = df.join(lists, key, "left")
+    return x.withColumn(out, F.coalesce("__l", F.array().cast(kind))).withColumn(source, F.when(F.col("__l").isNull(), "missing").otherwise("found")).drop("__l")

@@ -149,3 +149,10 @@ def calibrate_temperature(df: DataFrame, logit: str, positive: Column, rounds: i
         best = min(range(points), key=lambda i: row[i])
         a, b = places[max(0, best - 1)], places[min(points - 1, best + 1)]
     return math.exp((a + b) / 2)
+
+
+def span_summary(df: DataFrame, keys: Sequence[str], iou: str, least: float = 0.5) -> DataFrame:
+    """(keys, n, mean_iou, iou_share): the mean IoU of predicted and true spans, and the share with at least `least`."""
+    rows = df.filter(F.col(iou).isNotNull())
+    each = [F.count("*").alias("n"), F.avg(iou).alias("mean_iou"), F.avg((F.col(iou) >= least).cast("double")).alias("iou_share")]
+    return rows.groupBy(*keys).agg(*each) if keys else rows.agg(*each)

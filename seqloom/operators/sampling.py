@@ -136,3 +136,25 @@ def mutants(df: DataFrame, key: str, seq: str, modes: Sequence[str], rates: Sequ
             yield pd.DataFrame({"mutant_id": ids, "key": b["key"], "mode": b["mode"], "rate": b["rate"], "replicate": b["replicate"], "mutant": [g[0] for g in got], "changed": [len(g[1]) for g in got]})
 
     return x.mapInPandas(run, f"mutant_id string, key {kind}, mode string, rate double, replicate int, mutant string, changed int").withColumnRenamed("key", key)
+
+
+def bootstrap(df: DataFrame, key: str, fraction: float, iterations: int, seed: int) -> DataFrame:
+    """(iteration, key): max(2, round(fraction x rows)) rows for each iteration, by the order of a hash of seed + iteration.
+
+    Iterations lie one after the other in a range-partitioned order, so that none is sorted in one task. key: unique.
+    """
+    rows = df.count()
+    most = min(rows, max(2, round(fraction * rows)))
+    x = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    x = x.withColumn("__h", hash_order_of(F.col("iteration") + seed, F.col(key).cast("string")))
+    return ordinals(x, ["iteration", "__h", key], "__n").filter(F.col("__n") - F.col("iteration") * F.lit(rows) < most).select("iteration", key)
+
+
+def hash_order_of(seed: Column, *ids: Column) -> Column:
+    """As hash_order, with a seed that is a column."""
+    return F.md5(F.concat_ws("\t", seed.cast("string"), *ids))
+
+
+def peek(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(key): n keys at random, in order."""
+    return sample(df.select(key), [key], n, seed).orderBy(key)

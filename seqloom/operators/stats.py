@@ -167,3 +167,42 @@ def cluster_quality(df: DataFrame, vector: str, label: str, most_clusters: int =
         within = sum(r.within for r in rows)
         ch = float((w * ((v - grand) ** 2).sum(1)).sum() / (k - 1) / (within / (n - k))) if within and n > k else None
     return df.sparkSession.createDataFrame([(n, k, db, ch)], "n bigint, clusters bigint, davies_bouldin double, calinski_harabasz double")
+
+
+def silhouette(df: DataFrame, vector: str, label: str, most_clusters: int = 10_000) -> DataFrame:
+    """(n, silhouette): the mean silhouette of labelled vectors by squared Euclidean distances, one row; null for fewer than two clusters.
+
+    The mean squared distance of a vector to a cluster follows from the cluster's centre and its mean squared length,
+    so that no pairs of vectors are made. At most `most_clusters` centres (else an error) meet each vector. A vector
+    that is alone in its cluster has 0.
+    """
+    x = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("c"), F.col(vector).cast("array<double>").alias("x"))
+    add = lambda t, q: t + q
+    x = x.withColumn("q", F.aggregate("x", F.lit(0.0), lambda t, p: t + p * p))
+    dims = x.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.avg("v").alias("m"))
+    centres = dims.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m"))
+    centres = centres.join(x.groupBy("c").agg(F.count("*").alias("n"), F.avg("q").alias("s")), "c")
+    rows = centres.orderBy("c").limit(most_clusters + 1).collect()
+    if len(rows) > most_clusters:
+        raise ValueError(f"more than {most_clusters} clusters")
+    if len(rows) < 2:
+        return x.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("silhouette"))
+    held = F.array(*(F.struct(F.lit(r.c).alias("c"), F.lit(r.n).alias("n"), F.lit(r.s).alias("s"), F.array(*map(F.lit, r.m)).alias("m")) for r in rows)) if len(rows) * len(rows[0].m) <= 20_000 else None
+    if held is not None:
+        x = x.withColumn("all", held)
+    else:
+        x = x.join(F.broadcast(centres.agg(F.collect_list(F.struct("c", "n", "s", "m")).alias("all"))))
+    away = F.transform("all", lambda r: F.struct(r["c"].alias("c"), r["n"].alias("n"), F.greatest(F.lit(0.0), F.col("q") - 2 * F.aggregate(F.zip_with("x", r["m"], lambda p, m: p * m), F.lit(0.0), add) + r["s"]).alias("d")))
+    x = x.select("c", away.alias("d"))
+    own = F.get(F.filter("d", lambda r: r["c"] == F.col("c")), F.lit(0))
+    other = F.array_min(F.transform(F.filter("d", lambda r: r["c"] != F.col("c")), lambda r: r["d"]))
+    x = x.select(own["n"].alias("n"), (own["d"] * own["n"] / F.nullif(own["n"] - 1, F.lit(0))).alias("a"), other.alias("b"))
+    each = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    return x.agg(F.count("*").alias("n"), F.avg(each).alias("silhouette"))
+
+
+def motif_summary(df: DataFrame, keys: Sequence[str], percentile: str, distance: str) -> DataFrame:
+    """(keys, n, mean_pct, median_pct, mean_distance, median_distance) of occurrences; nulls are left out of each."""
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(percentile).alias("mean_pct"), F.median(percentile).alias("median_pct"), F.avg(distance).alias("mean_distance"), F.median(distance).alias("median_distance")
+    )

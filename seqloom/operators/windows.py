@@ -192,3 +192,24 @@ def find_peaks(df: DataFrame, key: str, values: str, prominence: float, distance
 
     x = df.select(F.col(key).alias("key"), F.col(values).cast("array<double>").alias("v"))
     return x.mapInPandas(run, f"key {kind}, n int, position int, height double").withColumnRenamed("key", key)
+
+
+def scan_windows(df: DataFrame, length: str, size: int, stride: int, tail: bool = True) -> DataFrame:
+    """df with a row a window: w_start, w_end (half-open). Steps of stride, and with tail a last window at the end; shorter sequences are one window."""
+    n = F.col(length)
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - size, F.lit(0)) / stride).cast("int")), lambda i: i * stride)
+    starts = F.array_distinct(F.concat(steps, F.array((n - size).cast("int")))) if tail else steps
+    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(starts)
+    x = df.withColumn("w_start", F.explode(F.when(n > 0, starts)))
+    return x.withColumn("w_end", F.least(F.col("w_start") + size, n))
+
+
+def best_windows(df: DataFrame, keys: Sequence[str], length: str, size: int, stride: int, score: Column, tail: bool = True) -> DataFrame:
+    """(keys, w_start, w_end, score): of each key the window with the largest score, the first of equal ones.
+
+    score: an expression over df's columns, w_start and w_end. Windows are scored where they are made; only the best
+    of each key travels.
+    """
+    x = scan_windows(df, length, size, stride, tail).withColumn("__s", score)
+    best = x.groupBy(*keys).agg(F.max_by(F.struct("w_start", "w_end", "__s"), F.struct("__s", -F.col("w_start"))).alias("b"))
+    return best.select(*keys, "b.w_start", "b.w_end", F.col("b.__s").alias("score"))

@@ -222,10 +222,10 @@ q as (select vec_id, embedding::double[] as v, sqrt(list_sum(list_transform(embe
 p as (select a.vec_id as query, b.vec_id as key, round(greatest(0.0, list_dot_product(a.v, b.v) / (a.n * b.n)), 6) as s from q a join {1} b on a.vec_id <> b.vec_id),
 k as (select * from p qualify row_number() over (partition by query order by s desc, key) <= 5)
 """
-_QQ = _Q.format("where vec_id % 20 = 0", "q")
+_QQ = _Q.format("", "q")
 SQL = {
     "f21_l2": f"with d as ({_D}), n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from d) select vec_id, list_transform(v, lambda x: round(case when n <= 1e-8 then x else x / n end, 6)) as v from n",
-    "f19_positions": "select entry_id, exported_at, case when least(L, 20) < 1 then [] else list_transform(range(0, least(L, 20)), lambda i: round(case when least(L, 20) <= 1 then 0.0 else i / (least(L, 20) - 1) end, 6)) end as p from pooled_json",
+    "f19_positions": "select entry_id, exported_at, case when L < 1 then [] else list_transform(range(0, L), lambda i: round(case when L <= 1 then 0.0 else i / (L - 1) end, 6)) end as p from pooled_json",
     "f20_softmax": """
 with x as (select vec_id, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), m as (select *, max(case when i % 3 <> 0 then x end) over (partition by vec_id) as t from x),
 r as (select *, case when i % 3 <> 0 then exp(x - t) else 0.0 end as r from m), s as (select *, sum(r) over (partition by vec_id) as s from r)

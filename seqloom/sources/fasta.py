@@ -4,29 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import printable, sanitised
+from ..operators.joins import allowed
 from ..operators.sampling import ordinals
 
 
-def read_fasta(spark: SparkSession, paths: str | Sequence[str], empty: str = "keep", numbered: bool = False) -> DataFrame:
+def read_fasta(spark: SparkSession, paths: str | Sequence[str], empty: str = "keep", numbered: bool = False, strict: bool = False, clean: str | None = None) -> DataFrame:
     """(path, ord, seq_id, header, seq) of FASTA files, also gzipped ones (which aren't split).
 
     Lines are stripped and joined, blank ones skipped. seq_id is the first word of the header, `unnamed` for an empty
     header. Records without sequence have an empty seq, or are dropped with empty="drop". ord grows along a file; with
     numbered it counts from 0 within each file, at the price of a range shuffle. Text before the first header is taken
-    as a header line; Windows line ends are understood.
+    as a header line, or is an error with strict; Windows line ends are understood. clean: `printable` (upper case,
+    printable, no stop marks) or `sanitised` (allowed residues, X for others).
     """
+    if clean not in (None, "printable", "sanitised"):
+        raise ValueError(clean)
     if empty not in ("keep", "drop"):
         raise ValueError(empty)
     raw = spark.read.option("lineSep", "\n>").text([paths] if isinstance(paths, str) else list(paths))
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", r"^\s*>", "").alias("t"))
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("ord"), F.col("value").rlike(r"^\s*>").alias("__h"), F.regexp_replace("value", r"^\s*>", "").alias("t"))
     rows = rows.filter(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
+    if strict:  # only the first record of a file keeps its mark, the others begin behind the separator
+        lost = (F.col("__b") == 0) & ~F.col("__h") & (F.row_number().over(Window.partitionBy("path", F.spark_partition_id()).orderBy("ord")) == 1)
+        rows = rows.withColumn("t", F.when(lost, F.raise_error(F.concat(F.lit("sequence before a header in "), F.col("path")))).otherwise(F.col("t")))
     header = F.btrim(F.substring_index("t", "\n", 1), F.lit(" \t\r"))
     body = F.when(F.instr("t", "\n") > 0, F.substr(F.col("t"), F.instr("t", "\n") + 1)).otherwise("")
     seq = F.btrim(F.regexp_replace(body, r"[ \t\r]*\n[ \t\r]*", ""), F.lit(" \t\r\n"))
     out = rows.select("path", "__b", "ord", F.coalesce(F.nullif(F.regexp_extract(header, r"^(\S*)", 1), F.lit("")), F.lit("unnamed")).alias("seq_id"), header.alias("header"), seq.alias("seq"))
+    if clean is not None:
+        out = out.withColumn("seq", printable(F.col("seq")) if clean == "printable" else sanitised(F.col("seq")))
     if empty == "drop":
         out = out.filter("seq <> ''")
     if numbered:
@@ -47,3 +57,8 @@ def lengths(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     if rows.isEmpty():
         raise ValueError(f"no records in {paths}")
     return rows.select("seq_id", F.length("seq").alias("length"))
+
+
+def fetch(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records with the ids in the first column of ids: what an index of files is for, as a filter or a semi-join."""
+    return allowed(records, "seq_id", ids)

@@ -7,13 +7,16 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed_text
 
 
+#: Fixed value: the first line of a file of features.
+VERSION = "##gff-version 3"
+
+
 def fasta_rows(seq_id: Column, seq: Column, width: int = 60) -> Column:
     """A record as text, lines of `width` letters (0: one line); the last line has no end, as the sink adds it."""
     body = F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n") if width else seq
@@ -36,21 +39,48 @@ def gff3_rows(df: DataFrame, least_p: float = 0.0, extra: Sequence[str] = (), so
     return rows.select(F.concat_ws("\t", "base_id", F.lit(source), F.lit(feature), F.col("start").cast("string"), F.col("end").cast("string"), fixed_text(F.col("P"), 6), F.lit("."), F.lit("."), attrs).alias("value"))
 
 
-def write_gff3(df: DataFrame, path: str, mode: str = "errorifexists", **options) -> None:
+def full_gff3_rows(df: DataFrame, least_p: float = 0.0, source: str = "seqloom", feature: str = "RdRP_domain", temperature: float = 1.0, mass: float = 0.9, hpd: bool = True) -> DataFrame:
+    """(value): features with all attributes in their fixed order.
+
+    df: base_id, chunk_id, start, end, P, logit, calibrated_logit, sigma, length, entropy.
+    """
+    text = lambda c, digits: fixed_text(F.col(c).cast("double"), digits)
+    # Names of the attributes, in their order.
+    parts = {
+        "ID": F.col("base_id"),
+        "Name": F.lit("RdRP_catalytic_center"),
+        "Chunk": F.col("chunk_id"),
+        "P": text("P", 6),
+        "Logit": text("logit", 6),
+        "CalibratedLogit": text("calibrated_logit", 6),
+        "Temperature": F.lit(f"{temperature:.6g}"),
+        "sigma": text("sigma", 4),
+        "len": F.col("length").cast("string"),
+        "SpanSource": F.lit("HPD" if hpd else "kSigma"),
+        "AttnMass": F.lit(f"{mass:.2f}"),
+        "AttnEntropy": text("entropy", 6),
+    }
+    attrs = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in parts.items()))
+    fields = ["base_id", F.lit(source), F.lit(feature), F.col("start").cast("string"), F.col("end").cast("string"), text("P", 6), F.lit("."), F.lit("."), attrs]
+    return df.filter(F.col("P") >= least_p).select(F.concat_ws("\t", *fields).alias("value"))
+
+
+def write_gff3(df: DataFrame, path: str, mode: str = "errorifexists", full: bool = False, **options) -> None:
     """Features in the order of the input, a file a partition, each beginning with the version line; one file with it for no features."""
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = pa.RecordBatch.from_arrays([pa.array(["##gff-version 3"])], ["value"])
-        begun = TaskContext.get().partitionId() == 0
-        if begun:
-            yield head
+        begun = False
         for batch in batches:
             if batch.num_rows and not begun:
                 begun = True
-                yield head
+                yield pa.RecordBatch.from_arrays([pa.array([VERSION])], ["value"])
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
 
-    gff3_rows(df, **options).mapInArrow(headed, "value string").write.mode(mode).text(path)
+    rows = full_gff3_rows(df, **options) if full else gff3_rows(df, **options)
+    if rows.isEmpty():
+        df.sparkSession.createDataFrame([(VERSION,)], "value string").coalesce(1).write.mode(mode).text(path)
+    else:
+        rows.mapInArrow(headed, "value string").write.mode(mode).text(path)
 
 
 def write_json(df: DataFrame, path: str, meta: dict | None = None, mode: str = "errorifexists") -> None:
@@ -97,3 +127,30 @@ def write_labels(df: DataFrame, path: str, settings: dict, mode: str = "errorife
     meta = {"counts": counts, "hash": str(total or 0), "settings": settings}
     df.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "_meta"))
     return meta
+
+
+def write_clusters(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """`node<TAB>cluster` with a header."""
+    df.select("node", "cluster").write.mode(mode).option("header", True).option("sep", "\t").csv(path)
+
+
+def write_sparse_rows(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A symmetric sparse matrix as Parquet, a row a node: its neighbours in order and their weights. For graphs of bounded degree."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    cells = F.array_sort(F.collect_list(F.struct("dst", "weight")))
+    rows = both.groupBy(F.col("src").alias("node")).agg(cells.alias("c"))
+    rows.select("node", F.col("c.dst").alias("indices"), F.col("c.weight").alias("weights")).write.mode(mode).parquet(path)
+
+
+#: Columns of tables that are written with fixed decimals: curves, operating points, chunk manifests and records.
+LAYOUTS = {
+    "curves": {"recall": 6, "precision": 6, "fpr": 6},
+    "operating_points": {"target": 6, "threshold": 6, "fpr": 6},
+    "manifest": {},
+    "records": {"P": 6, "logit": 6, "calibrated_logit": 6},
+}
+
+
+def write_layout(df: DataFrame, path: str, layout: str, mode: str = "errorifexists") -> None:
+    """One of the tables of LAYOUTS by tabs, with a header."""
+    write_csv(df, path, {c: n for c, n in LAYOUTS[layout].items() if c in df.columns}, "\t", mode)
