@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import printable, sanitised
@@ -12,6 +12,15 @@ from ..operators.joins import allowed
 from ..operators.sampling import ordinals
 
 
+def _begin_with_headers(spark: SparkSession, paths: str | Sequence[str]) -> None:
+    """An error if the first line of a file that isn't blank is no header; the lines at a file's beginning are looked at."""
+    lines = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"), "value").filter("b = 0 and trim(value) <> ''")
+    bad = lines.groupBy("path").agg(F.min_by("value", "n").alias("first")).filter(~F.ltrim("first").startswith(">")).select("path").limit(1).collect()
+    if bad:
+        raise ValueError(f"sequence before a header in {bad[0].path}")
+
+
 def read_fasta(spark: SparkSession, paths: str | Sequence[str], empty: str = "keep", numbered: bool = False, strict: bool = False, clean: str | None = None) -> DataFrame:
     """(path, ord, seq_id, header, seq) of FASTA files, also gzipped ones (which aren't split).
 
@@ -25,12 +34,11 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], empty: str = "ke
         raise ValueError(clean)
     if empty not in ("keep", "drop"):
         raise ValueError(empty)
+    if strict:
+        _begin_with_headers(spark, paths)
     raw = spark.read.option("lineSep", "\n>").text([paths] if isinstance(paths, str) else list(paths))
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("ord"), F.col("value").rlike(r"^\s*>").alias("__h"), F.regexp_replace("value", r"^\s*>", "").alias("t"))
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", r"^\s*>", "").alias("t"))
     rows = rows.filter(F.trim(F.regexp_replace("t", r"\s+", " ")) != "")
-    if strict:  # only the first record of a file keeps its mark, the others begin behind the separator
-        lost = (F.col("__b") == 0) & ~F.col("__h") & (F.row_number().over(Window.partitionBy("path", F.spark_partition_id()).orderBy("ord")) == 1)
-        rows = rows.withColumn("t", F.when(lost, F.raise_error(F.concat(F.lit("sequence before a header in "), F.col("path")))).otherwise(F.col("t")))
     header = F.btrim(F.substring_index("t", "\n", 1), F.lit(" \t\r"))
     body = F.when(F.instr("t", "\n") > 0, F.substr(F.col("t"), F.instr("t", "\n") + 1)).otherwise("")
     seq = F.btrim(F.regexp_replace(body, r"[ \t\r]*\n[ \t\r]*", ""), F.lit(" \t\r\n"))
