@@ -41,6 +41,15 @@ class Weights:
     temperature: float = 1.0
     cache: dict = field(default_factory=dict)
 
+    @classmethod
+    def load(cls, path: str, **settings) -> Weights:
+        """Arrays of a .npz file by name; settings as keywords."""
+        with np.load(path) as held:
+            return cls({k: held[k] for k in held.files}, **settings)
+
+    def save(self, path: str) -> None:
+        np.savez(path, **self.arrays)
+
     @classmethod
     def random(cls, width: int, seed: int = 0, hidden: Sequence[int] = (64, 48, 32), **settings) -> Weights:
         """Small random weights for tests; the published sizes are hidden=(1024, 512, 256)."""
@@ -84,20 +93,38 @@ def _moments(w: np.ndarray, at: np.ndarray) -> tuple[float, float]:
     return mu, math.sqrt(float((w * (at - mu) ** 2).sum()) + 1e-8)
 
 
+def token_states(tokens: list[np.ndarray], weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(states, scores) of the tokens of each sequence; all tokens go through the layers together, one under the other, so that nothing is padded."""
+    sizes = [len(t) for t in tokens]
+    at = np.concatenate([np.arange(n) / max(n - 1, 1) for n in sizes])
+    h = np.concatenate((np.concatenate([np.asarray(t, np.float64) for t in tokens]), at[:, None]), 1)
+    for i in (1, 2, 3):
+        h = weights.normalise(f"norm{i}", np.maximum(weights.dense(f"token{i}", h), 0))
+    s = weights.dense("score1", weights.normalise("score_norm", h))
+    z = weights.dense("score2", 0.5 * s * (1 + _erf(s / math.sqrt(2))))[:, 0]
+    cuts = np.cumsum(sizes)[:-1]
+    return list(zip(np.split(h, cuts), np.split(z, cuts)))
+
+
+def score_batch(tokens: list[np.ndarray], weights: Weights) -> list[dict]:
+    """The prediction of each sequence's token vectors (L, width), L >= 1."""
+    return [_predicted(h, z, weights) for h, z in token_states(tokens, weights)] if tokens else []
+
+
 def score_sequence(tokens: np.ndarray, weights: Weights) -> dict:
-    """P, logit, span and attention of one sequence's token vectors (L, width), L >= 1.
+    """The prediction of one sequence."""
+    return score_batch([tokens], weights)[0]
+
+
+def _predicted(h: np.ndarray, z: np.ndarray, weights: Weights) -> dict:
+    """P, logit, span and attention from the states and scores of one sequence's tokens.
 
     A position channel is appended; the tokens' scores give an anchor (a softmax at temperature tau), whose mean and
     spread shape a Gaussian prior, which with the scores gives the attention; the pooled context gives the logit, and
     the attention's mean and k sigma the span.
     """
-    n = len(tokens)
+    n = len(z)
     at = np.arange(n) / max(n - 1, 1)
-    h = np.concatenate((np.asarray(tokens, np.float64), at[:, None]), 1)
-    for i in (1, 2, 3):
-        h = weights.normalise(f"norm{i}", np.maximum(weights.dense(f"token{i}", h), 0))
-    s = weights.dense("score1", weights.normalise("score_norm", h))
-    z = weights.dense("score2", 0.5 * s * (1 + _erf(s / math.sqrt(2))))[:, 0]
     tau = weights.tau
     if weights.tau_gamma:
         tau *= min(4.0, max(0.25, n / weights.tau_reference)) ** weights.tau_gamma
@@ -184,9 +211,11 @@ def score_chunks(df: DataFrame, key: str, seq: str, embed: Embedder, weights: We
             def flush(a: int, b: int) -> None:
                 given = [(i, t) for i, t in enumerate(texts[a:b]) if t]
                 got = dict(zip((i for i, _ in given), resilient(embed, [t for _, t in given], tries, wait))) if given else {}
+                good = [i for i in range(b - a) if got.get(i, (None, None))[0] is not None]
+                scored = dict(zip(good, score_batch([got[i][0] for i in good], weights)))
                 for i in range(b - a):
-                    v, error = got.get(i, (None, "empty sequence"))
-                    rows.append(score_sequence(v, weights) | {"error": None} if v is not None else dict.fromkeys(names) | {"error": error})
+                    error = got.get(i, (None, "empty sequence"))[1]
+                    rows.append(scored[i] | {"error": None} if i in scored else dict.fromkeys(names) | {"error": error})
 
             for i, t in enumerate(texts):
                 n = len(t or "") + 2

@@ -13,6 +13,7 @@ from ..operators import intervals as I
 from ..operators import joins as J
 from ..operators import losses as L
 from ..operators import metrics as M
+from ..operators import model as Mo
 from ..operators import pooling as Po
 from ..operators import sampling as Sa
 from ..operators import stats as S
@@ -237,10 +238,24 @@ def i10_decisions(spark: SparkSession, d: str) -> DataFrame:
     return x.select("qid", F.left("code", F.lit(1)).alias("label"), "code", F.when(F.coalesce(full, F.lit(False)), E.source_names({"pfam": F.col("pfam"), "other": F.col("other")})).otherwise("").alias("sources"), F.coalesce("ho", F.lit(0)).alias("hit_overlap"), F.coalesce("so", F.lit(0)).alias("span_overlap"))
 
 
+def t4_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences scored by an embedder that fails on some: their batch is tried again one by one, and only they have an error."""
+    good = Mo.hash_embedder(4)
+
+    def embed(seqs: list[str]) -> list:
+        if any(s.startswith(("A", "G")) for s in seqs):
+            raise RuntimeError("refused")
+        return good(seqs)
+
+    x = table(spark, d, "fasta_records").select("rec_id", F.left(T.sanitised(F.col("seq")), F.lit(40)).alias("s"))
+    p = Mo.score_chunks(x, "rec_id", "s", embed, Mo.Weights.random(4, 1, (16, 12, 8)), 400, 2, 0.0)
+    return p.select("rec_id", F.col("P").isNotNull().alias("scored"), F.when(F.col("error").contains("refused"), "refused").otherwise(F.col("error")).alias("error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        f5_safe_names, f9_windows, f10_clamped, f15_confidence, f17_hashes, f27_formats, f28_models, f30_motifs, f31_labels, f32_token_vectors, f33_fits, pred3_allowed, j3_best_logits, j4_looked_up, j5_listed_hits, j6_predictions,
+        t4_failures, f5_safe_names, f9_windows, f10_clamped, f15_confidence, f17_hashes, f27_formats, f28_models, f30_motifs, f31_labels, f32_token_vectors, f33_fits, pred3_allowed, j3_best_logits, j4_looked_up, j5_listed_hits, j6_predictions,
         a9_modes, a25_iou, a33_motifs, a39_silhouette, a41_peaks, a45_losses, l8_drawn, l10_peek, l11_crops, w14_best_window, i10_decisions,
     )
 }
@@ -269,6 +284,7 @@ g as (select label, i, avg(x) as m, sum(x) as s, sum(w * x) as a, case when sum(
 """
 SQL = {
     "f5_safe_names": "select rec_id, replace(path, '/', '_') as key, regexp_replace(path, '[^\\p{L}\\p{N}._-]', '_', 'g') as file from fasta_records where path is not null",
+    "t4_failures": "with x as (select rec_id, left(regexp_replace(regexp_replace(upper(seq), '[ \\t\\r\\n]', '', 'g'), '[^ACDEFGHIKLMNPQRSTVWYX]', 'X', 'g'), 40) as s from fasta_records) select rec_id, coalesce(s <> '' and left(s, 1) not in ('A', 'G'), false) as scored, case when s is null or s = '' then 'empty sequence' when left(s, 1) in ('A', 'G') then 'refused' end as error from x",
     "f9_windows": "select row_id, s, e, (s + e) / 2 as mid from (select row_id, case when chunk_index % 3 = 0 then null else aa_start::double end as s, case when chunk_index % 3 = 0 then null else aa_end::double end as e from chunk_manifest where chunk_index % 3 = 0 or (aa_start is not null and aa_end is not null)) union all select row_id, null, null, null from chunk_manifest where chunk_index is null or (chunk_index % 3 <> 0 and (aa_start is null or aa_end is null))",
     "f10_clamped": f"select hit_id, {_clamped('closed1', 0, 0)}, {_clamped('closed0', 1, 1)}, {_clamped('open0', 1, 0)} from hmmer_dom_hits where qlen is not null",
     "f15_confidence": """
