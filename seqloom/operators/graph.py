@@ -167,7 +167,7 @@ def principal_components(df: DataFrame, key: str, vector: str, keep: float | int
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.asarray(s).tolist()]), pa.array([np.asarray(p).ravel().tolist()])], ["n", "s", "p"])
 
-    parts = x.select("v").mapInArrow(moments, "n bigint, s array<double>, p array<double>")
+    parts = checkpoint(x.select("v").mapInArrow(moments, "n bigint, s array<double>, p array<double>"))  # a row a partition
     add = lambda c: F.posexplode(c).alias("i", "x")
     sums = {c: [r.x for r in parts.select(add(c)).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()] for c in ("s", "p")}
     n = parts.agg(F.sum("n")).first()[0] or 0
