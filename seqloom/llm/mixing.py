@@ -145,10 +145,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     documents of the sources in targets, once.
 
     The report has target_share, budget and tokens, share (reached), short (whether the source can't give its part of
-    the total), available and the number of documents and uses. A source without documents or with all texts empty is
+    the total), available, the number of documents and uses, and the tokens of the smallest document that could still be
+    used once more (smallest_open, null for none). A source without documents or with all texts empty is
     reported with 0 tokens. Null, NaN or negative weights count as 0, null max_repeats as 1. Documents of other
     sources, or with null source or without tokens, are not used. Equal hashes are ordered by doc_id. Texts are taken
-    whole: a source that isn't short misses its budget by at most half of its smallest document that is still open.
+    whole: a source that isn't short misses its budget by less than its smallest document that is still open.
     More than MOST_LEAVES leaves are an error.
     """
     w = F.col("weight").cast("double")
@@ -212,6 +213,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
         name = path_[names.index("source")]
         planned[name] = planned.get(name, 0.0) + budget
     have = have.join(F.broadcast(spark.createDataFrame(list(planned.items()), "source string, budget double")), "source", "left")
+    smallest = ordered.filter("open and more = 0").groupBy("source").agg(F.min("tokens").alias("smallest_open"))
+    have = have.join(smallest, "source", "left")
     report = (
         goals.join(have, "source", "left")
         .join(got, "source", "left")
@@ -222,6 +225,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
             "max_repeats",
             F.coalesce("available", F.lit(0)).cast("bigint").alias("available"),
             F.coalesce("budget", F.lit(0.0)).alias("budget"),
+            F.col("smallest_open").cast("bigint").alias("smallest_open"),
             F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"),
             F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses"),
             F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"),

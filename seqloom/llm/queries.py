@@ -116,11 +116,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each source: whether no document is used too often, and whether its tokens are its budget (all it may give if it is short), to a hundredth and a small document."""
+    """Of each source: whether no document is used too often, and whether its tokens are its budget to less than its smallest document that is still open, or to a hundredth (all it may give if it is short)."""
     uses, report = _mixed(spark, sf_dir)
     most = uses.groupBy("source").agg(F.max("uses").alias("most"))
     wanted = F.when(F.col("short"), F.col("available") * F.col("max_repeats")).otherwise(F.col("budget"))
-    near = F.abs(F.col("tokens") - wanted) <= F.when(F.col("short"), 0.5).otherwise(0.01 * wanted + 20)
+    near = F.abs(F.col("tokens") - wanted) <= F.when(F.col("short"), 0.5).otherwise(F.greatest(0.01 * wanted, F.coalesce(F.col("smallest_open").cast("double"), wanted)))
     rows = report.join(most, "source", "left")
     return rows.select("source", F.col("max_repeats").cast("bigint").alias("max_repeats"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), near.alias("on_target"))
 
