@@ -26,6 +26,8 @@ from .common import small, trimmed
 RANGE_BITS = 12
 #: Turns in which what is left of budgets is given out; each leaves less than the size of a document that was next.
 MOST_TURNS = 10
+#: Part of a budget that may be left without another turn.
+CLOSE = 0.0005
 #: Leaves of the budget tree that the driver plans for: nodes of the weighted level times, say, languages.
 MOST_LEAVES = 100_000
 
@@ -149,7 +151,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     used once more (smallest_open, null for none). A source without documents or with all texts empty is
     reported with 0 tokens. Null, NaN or negative weights count as 0, null max_repeats as 1. Documents of other
     sources, or with null source or without tokens, are not used. Equal hashes are ordered by doc_id. Texts are taken
-    whole: a source that isn't short misses its budget by less than its smallest document that is still open.
+    whole: a source that isn't short misses its budget by less than its smallest document that is still open, or by CLOSE of it.
     More than MOST_LEAVES leaves are an error.
     """
     w = F.col("weight").cast("double")
@@ -197,7 +199,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
         ordered = checkpoint(_take(ordered, by, rests, half))
         taken = {tuple(r[p] for p in top): r.t for r in ordered.groupBy(*top).agg(F.sum(F.col("tokens") * F.col("more")).alias("t")).collect()}
         now = {node: rest - taken.get(node, 0) for node, rest in goal.items()}
-        if half or not any(rest > 0 for rest in now.values()):
+        if half or not any(rest > CLOSE * goal[node] for node, rest in now.items()):
             break
         half = by is top and now == rests
         by, rests = top, now
