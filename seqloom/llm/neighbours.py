@@ -26,6 +26,8 @@ from .vectors import LEAST_FIT, WIDTH, Blocks, classes, entries, grouped, places
 
 #: Rows of a cell and of a leaf, width of a bucket in standard deviations, coarse tables.
 CELL_ROWS, LEAF_ROWS, BUCKET, TABLES = 8_000, 1_200, 2.25, 2
+#: Rows of a cell up to which all its pairs are compared, as a table costs as much.
+FEW_ROWS = 4_096
 #: Reach of probes at unit distance, of coarse tables and within cells, and most buckets that a vector visits.
 REACH, LEAF_REACH, PROBES = 0.12, 0.25, 24
 #: Bounds the error of single-precision products of unit vectors.
@@ -197,7 +199,7 @@ def _candidates(x: np.ndarray, k: int, least: float, seed: int, exact: bool, tab
     n = len(x)
     every = np.arange(n)
     found = []
-    if n <= LEAF_ROWS or exact:
+    if n <= FEW_ROWS or exact:
         found += _compare(x, every, every, every, k, least)
     else:
         for t in range(tables):

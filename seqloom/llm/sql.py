@@ -60,3 +60,20 @@ with n as (select count(distinct row_id) as every from label_table), s as (selec
 select split, round(share * every)::bigint as target, true as near, true as "whole" from s, n
 """
 SQL["p8_balance"] = "select source, max_repeats::bigint as max_repeats, true as within_repeats, true as on_target from mix_targets where source is not null"
+# Vectors of whole tables are few enough for all pairs at the size at which SQL is compared; the components are walked from every node.
+SQL["p4_found"] = """
+with recursive p as (select entry_id, pools['backbone']['span_attn_norm']::double[] as x from pooled_json where entry_id is not null),
+u as (select entry_id, min(x) as x from p where len(x) = 64 and list_bool_and(list_transform(x, lambda q: coalesce(isfinite(q), false))) and list_bool_or(list_transform(x, lambda q: q <> 0)) group by entry_id),
+n as (select entry_id, x, sqrt(list_dot_product(x, x)) as s from u),
+e as (select a.entry_id as a, b.entry_id as b from n a join n b on a.entry_id <> b.entry_id where round(list_dot_product(a.x, b.x) / (a.s * b.s), 6) >= 0.9),
+w as (select a as node, a as seen from e union select w.node, e.b from w join e on w.seen = e.a)
+select node as entry_id, min(seen) as cluster_id from w group by node
+"""
+SQL["p5_found"] = """
+with p as (select entry_id, pools['backbone']['span_attn_norm']::double[] as x from pooled_json where entry_id is not null),
+u as (select entry_id, min(x) as x from p where len(x) = 64 and list_bool_and(list_transform(x, lambda q: coalesce(isfinite(q), false))) and list_bool_or(list_transform(x, lambda q: q <> 0)) group by entry_id),
+n as (select entry_id, x, sqrt(list_dot_product(x, x)) as s from u),
+c as (select a.entry_id as a, b.entry_id as b, round(list_dot_product(a.x, b.x) / (a.s * b.s), 6) as c from n a join n b on a.entry_id <> b.entry_id),
+k as (select a, b from c where c >= 0.9 qualify row_number() over (partition by a order by c desc, b) <= 5)
+select distinct least(a, b) as entry_a, greatest(a, b) as entry_b from k
+"""
