@@ -88,8 +88,8 @@ def chosen_examples(df: DataFrame, key: str, score: str, flags: Sequence[str], n
     return once.orderBy("p", *order).limit(n).select(key, "reason", "score")
 
 
-# Residue groups by chemistry, the letters that are drawn from, and those that can be protected.
-GROUPS = {"aliphatic": "AVLIM", "aromatic": "FYW", "small polar": "ST", "amide": "NQ", "acidic": "DE", "basic": "KRH", "flexible": "GP", "cysteine": "C"}
+# Residue groups by chemistry, the letters that are drawn from, and the modes.
+GROUPS = ("AVLIM", "FYW", "ST", "NQ", "DE", "KRH", "GP", "C")
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 MODES = ("random", "conservative", "nonconservative", "alanine", "glycine", "shuffle")
 
@@ -107,10 +107,10 @@ def mutate(seq: str, positions: np.ndarray, rate: float, mode: str, seed: int, p
         for p, q in zip(chosen, rng.permutation(chosen)):
             out[p] = seq[q]
     else:
-        group = {a: g for g, letters in GROUPS.items() for a in letters}
+        group = {a: letters for letters in GROUPS for a in letters}
         for p in chosen:
             own = group.get(seq[p])
-            same = GROUPS.get(own, "")
+            same = own or ""
             pool = {"random": LETTERS, "conservative": same, "nonconservative": [x for x in LETTERS if x not in same], "alanine": "A", "glycine": "G"}[mode]
             # where the residue itself is the only choice, any other one
             others = [x for x in pool if x != seq[p]] or [x for x in LETTERS if x != seq[p]]

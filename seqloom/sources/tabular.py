@@ -39,6 +39,7 @@ def _fields(kinds: str, parts: Column) -> list[Column]:
 
 def read_catch(spark: SparkSession, paths: Paths, dedupe: bool = True) -> DataFrame:
     """Profile hits with a header, which may be repeated: of each sequence the hit of the least e-value, then the best score and coverage."""
+    # Columns of the tool's output.
     need = ["Sequence_name", "evalue", "bitscore", "from", "to"]
     lines = _lines(spark, paths, comments=False)
     first = lines.filter(F.col("value").startswith("Sequence_name")).limit(1).collect()
@@ -81,6 +82,7 @@ def read_domtblout(spark: SparkSession, paths: Paths) -> DataFrame:
 def read_fmt6(spark: SparkSession, paths: Paths) -> DataFrame:
     """Alignment hits of 14 tab-separated columns, of which the first six are needed."""
     x = _lines(spark, paths).select(F.split("value", "\t").alias("p")).filter(F.size("p") >= 6)
+    # Columns of the tool's output, in order.
     kinds = "qid:s sid:s evalue:d bitscore:d qstart:i qend:i sstart:i send:i len:i qlen:i slen:i title:s qcovs:d qcovhsp:d"
     return x.select(*_fields(kinds, F.col("p"))).filter("qid is not null and qstart is not null and qend is not null")
 
@@ -134,6 +136,7 @@ def read_regions(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def read_interpro(spark: SparkSession, paths: Paths, keep: Sequence[str] = ()) -> DataFrame:
     """Distinct domain annotations that have an entry; keep: databases."""
+    # Columns of the tool's output, in order.
     kinds = "acc:s md5:s len:i db:s sig:s sig_desc:s start:i end:i score:d status:s date:s ipr:s ipr_desc:s go:s path:s"
     x = _lines(spark, paths).select(F.split("value", r"\t").alias("p")).select(*_fields(kinds, F.col("p"))).filter("ipr is not null")
     return (x.filter(F.col("db").isin(list(keep))) if keep else x).dropDuplicates()
@@ -142,6 +145,7 @@ def read_interpro(spark: SparkSession, paths: Paths, keep: Sequence[str] = ()) -
 def read_manifest(spark: SparkSession, paths: Paths) -> DataFrame:
     """Chunk manifests with a header; an error if columns are missing."""
     x = spark.read.option("sep", "\t").option("header", True).csv([paths] if isinstance(paths, str) else list(paths))
+    # Columns of a manifest.
     need = ["chunk_id", "orig_id", "chunk_index", "chunks_total", "orig_aa_start", "orig_aa_end", "chunk_aa_len", "orig_aa_len"]
     missing = [c for c in need if c not in x.columns]
     if missing:
