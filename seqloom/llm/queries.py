@@ -60,10 +60,10 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     torn = rows.groupBy("group_id").agg(F.min("split").alias("split"), F.countDistinct("split").alias("n")).filter("n > 1")
     goals = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, share double")
     got = rows.groupBy("split").agg(F.count("*").alias("rows"))
-    every = got.agg(F.sum("rows").alias("every"))  # one row
-    found = goals.join(got, "split", "left").join(torn.groupBy("split").agg(F.count("*").alias("torn")), "split", "left").crossJoin(F.broadcast(every))
-    target = F.round(F.col("share") * F.col("every")).cast("bigint")
-    near = F.abs(F.coalesce("rows", F.lit(0)) - F.col("share") * F.col("every")) <= 0.005 * F.col("every") + 1
+    every = F.lit(rows.count())
+    found = goals.join(got, "split", "left").join(torn.groupBy("split").agg(F.count("*").alias("torn")), "split", "left")
+    target = F.round(F.col("share") * every).cast("bigint")
+    near = F.abs(F.coalesce("rows", F.lit(0)) - F.col("share") * every) <= 0.005 * every + 1
     return found.select("split", target.alias("target"), near.alias("near"), (F.coalesce("torn", F.lit(0)) == 0).alias("whole"))
 
 
