@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,7 +178,6 @@ def silhouette(df: DataFrame, vector: str, label: str, most_clusters: int = 10_0
     that is alone in its cluster has 0.
     """
     x = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("c"), F.col(vector).cast("array<double>").alias("x"))
-    add = lambda t, q: t + q
     x = x.withColumn("q", F.aggregate("x", F.lit(0.0), lambda t, p: t + p * p))
     dims = x.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.avg("v").alias("m"))
     centres = dims.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m"))
@@ -187,18 +187,30 @@ def silhouette(df: DataFrame, vector: str, label: str, most_clusters: int = 10_0
         raise ValueError(f"more than {most_clusters} clusters")
     if len(rows) < 2:
         return x.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("silhouette"))
-    held = F.array(*(F.struct(F.lit(r.c).alias("c"), F.lit(r.n).alias("n"), F.lit(r.s).alias("s"), F.array(*map(F.lit, r.m)).alias("m")) for r in rows)) if len(rows) * len(rows[0].m) <= 20_000 else None
-    if held is not None:
-        x = x.withColumn("all", held)
-    else:
-        x = x.join(F.broadcast(centres.agg(F.collect_list(F.struct("c", "n", "s", "m")).alias("all"))))
-    away = F.transform("all", lambda r: F.struct(r["c"].alias("c"), r["n"].alias("n"), F.greatest(F.lit(0.0), F.col("q") - 2 * F.aggregate(F.zip_with("x", r["m"], lambda p, m: p * m), F.lit(0.0), add) + r["s"]).alias("d")))
-    x = x.select("c", away.alias("d"))
-    own = F.get(F.filter("d", lambda r: r["c"] == F.col("c")), F.lit(0))
-    other = F.array_min(F.transform(F.filter("d", lambda r: r["c"] != F.col("c")), lambda r: r["d"]))
-    x = x.select(own["n"].alias("n"), (own["d"] * own["n"] / F.nullif(own["n"] - 1, F.lit(0))).alias("a"), other.alias("b"))
-    each = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
-    return x.agg(F.count("*").alias("n"), F.avg(each).alias("silhouette"))
+    number = {r.c: i for i, r in enumerate(rows)}
+    m, n, s = np.array([r.m for r in rows]), np.array([r.n for r in rows], float), np.array([r.s for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            own = np.array([number[c] for c in batch.column("c").to_pylist()])
+            for i in range(0, len(v), 1000):
+                x_, o = v[i : i + 1000], own[i : i + 1000]
+                d = np.maximum(0.0, (x_ * x_).sum(1)[:, None] - 2 * x_ @ m.T + s[None])
+                at = np.arange(len(o))
+                a = d[at, o] * n[o] / np.maximum(n[o] - 1, 1)
+                d[at, o] = np.inf
+                b = d.min(1)
+                high = np.maximum(a, b)
+                total += float(np.where((n[o] == 1) | (high == 0), 0.0, (b - a) / np.where(high == 0, 1.0, high)).sum())
+                count += len(o)
+        yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total])], ["n", "s"])
+
+    parts = x.select("c", "x").mapInArrow(run, "n bigint, s double")
+    return parts.agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 def motif_summary(df: DataFrame, keys: Sequence[str], percentile: str, distance: str) -> DataFrame:
