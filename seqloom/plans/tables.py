@@ -16,9 +16,8 @@ from ..session import table
 
 def pred11_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Accessions of the panel that documents contain, counted by accession."""
-    docs = table(spark, d, "documents").filter("text is not null")
-    found = J.contains_join(docs, "text", table(spark, d, "reference_panel"), "acc")
-    return docs.join(found, "text").groupBy("acc").agg(F.count("*").alias("docs"))
+    found = J.mentions(table(spark, d, "documents"), "text", table(spark, d, "reference_panel"), "acc")
+    return found.groupBy("acc").agg(F.count("*").alias("docs"))
 
 
 def pred7_substring(spark: SparkSession, d: str) -> DataFrame:
